@@ -7,16 +7,38 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_bpe
+from . import language_id, secret_scan, sentencepiece_bpe, url_filter
 from .runtime import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+# The rules of the URL filter.
+RULES = [
+    url_filter.Rule("block", "net"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = secret_scan.TokenEfficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return secret_scan.scan(table(spark, sf_dir, "documents"), test)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark, table(spark, sf_dir, "pages"), RULES)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(spark, table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
