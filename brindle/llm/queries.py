@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, secret_scan, sentencepiece_bpe, url_filter
+from . import language_id, secret_scan, sentencepiece_bpe, source_mix, url_filter
 from .runtime import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -35,6 +35,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(spark, table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, table(spark, sf_dir, "documents"))
 
