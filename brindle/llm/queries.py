@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, secret_scan, sentencepiece_bpe, source_mix, url_filter
-from .runtime import table
+from . import exact_dedup, language_id, secret_scan, sentencepiece_bpe, shard_store, source_mix, url_filter
+from .runtime import scratch, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -31,6 +31,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark, table(spark, sf_dir, "pages"), RULES)
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(spark, table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -43,9 +47,27 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_store.compacted(spark, table(spark, sf_dir, "documents"), scratch(spark, "shards"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+EXACT_DEDUP = r"""
+WITH sized AS (
+  SELECT doc_id, coalesce(length(text), 0) AS n,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents
+), stays AS (
+  SELECT text_sha256, arg_min(doc_id, (-n, doc_id)) AS keep_id, count(*) AS group_size
+  FROM sized GROUP BY text_sha256
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
+FROM sized JOIN stays USING (text_sha256)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_dedup": EXACT_DEDUP}

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as the contracts define it: the space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -78,3 +79,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def named(columns) -> list[Column]:
     """Columns by their exact names, dots and all."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def normalised_schema(schema: T.StructType) -> T.StructType:
+    """The schema as Parquet gives it back: every field may be null."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
