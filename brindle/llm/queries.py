@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, secret_scan, sentencepiece_bpe, shard_store, source_mix, url_filter
+from . import exact_dedup, language_id, secret_scan, sentencepiece_bpe, shard_store, source_mix, url_filter, warc
 from .runtime import scratch, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,6 +22,11 @@ RULES = [
 ]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark, "warc")
+    return warc.read(spark, warc.write(spark, table(spark, sf_dir, "pages"), root), root)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = secret_scan.TokenEfficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return secret_scan.scan(table(spark, sf_dir, "documents"), test)

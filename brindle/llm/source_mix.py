@@ -33,7 +33,7 @@ class Settings:
     blocks: int = 8192
     seed: str = "0"
     #: Rows that one task orders, about.
-    bucket: int = 20_000
+    bucket: int = 4_000
     #: Slots that one task ranks.
     chunk: int = 1 << 16
     #: Cells of the grid over [0, 1) by which slots find their source.
