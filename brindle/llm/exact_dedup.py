@@ -65,6 +65,7 @@ def run_stream(spark: SparkSession, arrived: str, schema, checkpoint: str, setti
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(settings.state_memory_mb),
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.metricsEnabled": "false",
     }
     before = {k: spark.conf.get(k, None) for k in ours}
