@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, secret_scan, sentencepiece_bpe, shard_store, source_mix, url_filter, warc
+from . import exact_dedup, language_id, near_dedup, secret_scan, sentencepiece_bpe, shard_store, source_mix, url_filter, warc
 from .runtime import scratch, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -44,6 +44,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(spark, table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(spark, table(spark, sf_dir, "documents"))
 
