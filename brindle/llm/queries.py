@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dedup, secret_scan, sentencepiece_bpe, shard_store, source_mix, url_filter, warc
+from . import exact_dedup, language_id, near_dedup, nearest, secret_scan, sentencepiece_bpe, shard_store, source_mix, url_filter, warc
 from .runtime import scratch, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -48,6 +49,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.deduplicate(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(spark, table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(spark, table(spark, sf_dir, "documents"))
 
