@@ -162,7 +162,10 @@ def write(spark: SparkSession, pages: DataFrame, root: str, settings: Settings =
     revisit = (F.col("key") != F.col("first")) | (F.col("key").isNull() & F.col("first").isNotNull())
     judged = rows.join(first, "digest", "left").select("key", "url", "payload", "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
-    fit = rows.where(F.col("size").between(1, settings.sample_bytes)).select("key", "url", "payload", "size", "digest").orderBy(F.xxhash64("digest", "key")).limit(settings.samples)
+    # a first cut by the hash, at four times the bound, so that no task sends more than it must
+    place = F.xxhash64("digest", "key")
+    near = place.bitwiseAND(0xFFFFFFFF) / float(1 << 32) * max(1, pages.count()) < 4.0 * settings.samples
+    fit = rows.where(near & F.col("size").between(1, settings.sample_bytes)).select("key", "url", "payload", "size", "digest").orderBy(place.bitwiseAND(0xFFFFFFFF), "digest", "key").limit(settings.samples)
     samples = [record(r.key, r.url, r.payload.encode(), r["size"], r.digest, None, settings.date) for r in fit.collect()]  # bounded
     shared = spark.sparkContext.broadcast(train(samples, settings))
 
