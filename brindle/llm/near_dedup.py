@@ -102,10 +102,9 @@ class Hasher:
         bands = values.reshape(self.settings.bands, self.settings.rows) * self.band_factors
         return _mixed(bands.sum(axis=1) ^ self.band_terms).view(np.int64)
 
-    def compared(self, a: np.ndarray, b: np.ndarray) -> tuple[bool, int]:
-        """Whether two sets are linked, and what they have in common."""
+    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= self.settings.percent * (len(a) + len(b) - both), both
+        return 100 * both >= self.settings.percent * (len(a) + len(b) - both)
 
 
 class _Words(dict):
@@ -152,7 +151,7 @@ def features(at: DataFrame, settings: Settings, key: str, text: str) -> DataFram
 
 
 def confirmed(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, at: DataFrame, settings: Settings, text: str) -> DataFrame:
-    """The pairs (a, b) of nodes, with ``linked`` and the intersection (``common``): compared on the full sets of their texts."""
+    """The pairs (a, b) of nodes, with ``linked``: compared on the full sets of their texts."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     places = nodes.join(needed, "node", "left_semi").select("node", F.col("first.file").alias("_file"), F.col("first.row").alias("_row"))
     texts = materialize(spark, at.select("_file", "_row", F.col(text).alias("text")).join(places, ["_file", "_row"]).select("node", "text"), "near-texts")
@@ -166,10 +165,10 @@ def confirmed(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, at: DataF
             for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if a != node:  # the rows of a centre mostly follow each other
                     node, held = a, own.shingles(ta.as_buffer().to_pybytes())
-                found.append(own.compared(held, own.shingles(tb.as_buffer().to_pybytes())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.int64())], ["a", "b", "linked", "common"])
+                found.append(own.linked(held, own.shingles(tb.as_buffer().to_pybytes())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], ["a", "b", "linked"])
 
-    return pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b").mapInArrow(compared, "a long, b long, linked boolean, common long")
+    return pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b").mapInArrow(compared, "a long, b long, linked boolean")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -249,22 +248,37 @@ class _Links:
         return live.select("bucket", "node", "size", "weight", "mark").join(picked.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
 
 
-#: A node against a centre: what it has besides, what it lacks, and what of the former another node of that centre has too.
-MARK = "struct<pivot:bigint,gained:bigint,lost:bigint,shared:bigint>"
+#: Longs of a bitmap.
+BITMAP = 4
+#: A node against a centre: how many shingles it has besides and how many it lacks, and bitmaps of their hashes.
+MARK = "struct<pivot:bigint,gained:bigint,lost:bigint,g:array<bigint>,l:array<bigint>>"
+
+
+def _bitmap(shingle: str) -> Column:
+    """Aggregate: the bitmap of a group's hashes."""
+    place = F.shiftright(F.col(shingle), 6).bitwiseAND(BITMAP - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(shingle).bitwiseAND(63).cast("int"))
+    return F.array(*[F.coalesce(F.bit_or(F.when(place == k, bit)), F.lit(0).cast("long")) for k in range(BITMAP)])
 
 
 def _may_link(settings: Settings) -> Column:
     """False only for pairs that can't be linked.
 
     Let two nodes A and B have the same pivot P.  Their symmetric difference is
-    that of A - P and B - P (gained) plus that of P - A and P - B (lost); the
-    former have at most the ``shared`` part in common, the latter at most the
-    smaller one.  A link needs a symmetric difference of at most
-    (100 - p) / (100 + p) of the sum of both sizes.
+    that of A - P and B - P (gained) plus that of P - A and P - B (lost).  Each
+    bit of A's bitmap that B's lacks is an element of A that B hasn't, so what
+    they have in common is at most A's elements less these bits.  A link needs
+    a symmetric difference of at most (100 - p) / (100 + p) of both sizes.
     """
     a, b = F.col("mark"), F.col("centre_mark")
-    least = lambda f: F.least(a[f], b[f])
-    apart = a["gained"] + b["gained"] - 2 * least("shared") + a["lost"] + b["lost"] - 2 * least("lost")
+
+    def common(n: str, bits: str) -> Column:
+        missing = F.lit(0)
+        for k in range(BITMAP):
+            missing = missing + F.bit_count(a[bits][k].bitwiseAND(F.bitwise_not(b[bits][k])))
+        return F.least(a[n] - missing, b[n])
+
+    apart = a["gained"] + b["gained"] - 2 * common("gained", "g") + a["lost"] + b["lost"] - 2 * common("lost", "l")
     room = (100 - settings.percent) * (F.col("size") + F.col("centre_size"))
     return F.coalesce((a["pivot"] != b["pivot"]) | ((100 + settings.percent) * apart <= room), F.lit(True))
 
@@ -276,9 +290,9 @@ def prefixes(spark: SparkSession, live: DataFrame, nodes: DataFrame, at: DataFra
     has a prefix of n - ceil(n * percent / 100) + 1.  ``first`` has the
     comparisons with the centres of the first round.
     """
-    own = first.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "common").join(live, "node")
+    own = first.select(F.col("b").alias("node"), F.col("a").alias("pivot")).join(live, "node")
     popular = own.groupBy("pivot").agg(F.count("*").alias("nodes"))
-    chosen = own.join(popular, "pivot").groupBy("node").agg(F.max(F.struct("nodes", "pivot", "common")).alias("best")).select("node", "best.pivot", "best.common")
+    chosen = own.join(popular, "pivot").groupBy("node").agg(F.max(F.struct("nodes", "pivot")).alias("best")).select("node", "best.pivot")
     chosen = materialize(spark, chosen, "near-pivots")
     asked = live.select("node").union(chosen.select(F.col("pivot").alias("node"))).distinct()
     places = nodes.join(asked, "node", "left_semi").select("node", F.col("first.file").alias("_file"), F.col("first.row").alias("_row"))
@@ -300,11 +314,13 @@ def prefixes(spark: SparkSession, live: DataFrame, nodes: DataFrame, at: DataFra
     prefix = ranked.withColumn("nth", F.row_number().over(rarest)).where((F.col("nth") <= length) & (F.col("weight") > 1))
 
     base = every.join(chosen.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("pivot"), "bucket")
-    gained = shingles.join(chosen.select("node", "pivot"), "node").join(base, ["pivot", "bucket"], "left_anti").select("pivot", "bucket", "node")
-    shared = gained.join(gained.groupBy("pivot", "bucket").agg(F.count("*").alias("n")).where("n > 1"), ["pivot", "bucket"]).groupBy("node").agg(F.count("*").alias("shared"))
-    size_of = nodes.select("node", "size")
-    marks = chosen.join(size_of, "node").join(size_of.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size")), "pivot").join(shared, "node", "left")
-    mark = F.struct("pivot", (F.col("size") - F.col("common")).alias("gained"), (F.col("pivot_size") - F.col("common")).alias("lost"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
+    own = shingles.join(chosen.select("node", "pivot"), "node").select("pivot", "bucket", "node")
+    gained = own.join(base, ["pivot", "bucket"], "left_anti").groupBy("node").agg(F.count("*").alias("gained"), _bitmap("bucket").alias("g"))
+    lacked = chosen.select("node", "pivot").join(base, "pivot").join(own, ["pivot", "bucket", "node"], "left_anti")
+    lost = lacked.groupBy("node").agg(F.count("*").alias("lost"), _bitmap("bucket").alias("l"))
+    none, zero = F.array(*[F.lit(0).cast("long")] * BITMAP), F.lit(0).cast("long")
+    marks = chosen.join(gained, "node", "left").join(lost, "node", "left")
+    mark = F.struct("pivot", F.coalesce("gained", zero).alias("gained"), F.coalesce("lost", zero).alias("lost"), F.coalesce("g", none).alias("g"), F.coalesce("l", none).alias("l"))
     marks = marks.select("node", mark.cast(MARK).alias("mark"))
     return materialize(spark, prefix.select("bucket", "node", "size", "weight").join(marks, "node", "left"), "near-prefixes")
 
@@ -328,9 +344,9 @@ def link_components(spark: SparkSession, at: DataFrame, settings: Settings, key:
     state = _Links(spark, nodes, at, settings, text)
     rest = state.round(open_, 1)
     if rest is not None and (split := state.split(rest)) is not None:
-        open_, centres = prefixes(spark, materialize(spark, split.select("node").distinct(), "near-rest"), nodes, at, state.first, settings, text), 16
+        open_, centres = prefixes(spark, materialize(spark, split.select("node").distinct(), "near-rest"), nodes, at, state.first, settings, text), 64
         while open_ is not None:
-            open_, centres = state.round(open_, centres), centres * 4
+            open_, centres = state.round(open_, centres), centres * 8
 
     part = state.part
     labelled = nodes.select("digest", "node", "first")
