@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def last_wins(rows: DataFrame, key: str, order: str, *values: str) -> DataFrame:
     """Of rows with one key, the one with the greatest ``order``."""
-    return rows.groupBy(key).agg(F.max(F.struct(order, *[v for v in values if v != order])).alias("_last")).select(key, *[F.col(f"_last.{v}").alias(v) for v in dict.fromkeys([order, *values])])
+    names = list(dict.fromkeys([order, *values]))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*names), order).alias("_last")).select(key, *[F.col(f"_last.{v}").alias(v) for v in names])
 
 
 def qualified(symbols: DataFrame) -> DataFrame:
