@@ -185,13 +185,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", columns: tuple[st
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [shared.value.judge(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([bool(r[2]) for r in rows], pa.bool_())], [*batch.schema.names[1:], *out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([bool(r[2]) for r in rows], pa.bool_())], [*batch.schema.names[1:], "_a", "_b", "_c"])
 
-    slim = docs.select(*named([text, *columns]))
+    # plain names on the way through Python: columns may have dots in theirs
+    slim = docs.select(*[c.alias(f"_{i}") for i, c in enumerate(named([text, *columns]))])
     schema = T.StructType(slim.schema.fields[1:])
-    for name, kind in zip(out, ("string", "double", "boolean"), strict=True):
+    for name, kind in zip(("_a", "_b", "_c"), ("string", "double", "boolean"), strict=True):
         schema = schema.add(name, kind)
-    return slim.mapInArrow(judged, schema)
+    return slim.mapInArrow(judged, schema).toDF(*columns, *out)
 
 
 def identify(spark: SparkSession, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
