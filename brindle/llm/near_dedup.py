@@ -62,7 +62,7 @@ STANDARD = Settings(words=5, percent=80, bands=40)
 class Hasher:
     """Shingle sets and buckets of texts; the same in every process."""
 
-    CACHE = 500_000
+    CACHE = 150_000
 
     def __init__(self, settings: Settings):
         self.settings = settings

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .runtime import text_or_empty, workers_import_this
 
 MARK = "▁"
-#: Entries that a worker remembers before it starts afresh.
-CACHE_ENTRIES = 400_000
+#: Entries of a generation of a worker's memory; it has two, and drops the older when the younger is full.
+CACHE_ENTRIES = 100_000
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -67,7 +67,7 @@ class Backtracker:
             self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), None) for p in self.ids}
-        self.compatible = functools.lru_cache(1 << 19)(lambda a, b: self.merged(a + b) == [a, b])
+        self.compatible = functools.lru_cache(1 << 17)(lambda a, b: self.merged(a + b) == [a, b])
         self.reachable = functools.lru_cache(1 << 16)(lambda a: self.merged(a) == [a])
         self.joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.stems, self.kept = _Kept(self._stem), _Kept(self._word)
@@ -170,14 +170,19 @@ class Backtracker:
 
 
 class _Kept(dict):
+    """Results of ``make`` for short keys: what was used lately stays."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
             if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
