@@ -26,7 +26,7 @@ from .runtime import text_or_empty, workers_import_this
 
 MARK = "▁"
 #: Entries of a generation of a worker's memory; it has two, and drops the older when the younger is full.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 150_000
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -67,7 +67,7 @@ class Backtracker:
             self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), None) for p in self.ids}
-        self.compatible = functools.lru_cache(1 << 17)(lambda a, b: self.merged(a + b) == [a, b])
+        self.compatible = functools.lru_cache(1 << 18)(lambda a, b: self.merged(a + b) == [a, b])
         self.reachable = functools.lru_cache(1 << 16)(lambda a: self.merged(a) == [a])
         self.joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.stems, self.kept = _Kept(self._stem), _Kept(self._word)
@@ -170,16 +170,25 @@ class Backtracker:
 
 
 class _Kept(dict):
-    """Results of ``make`` for short keys: what was used lately stays."""
+    """Results of ``make`` for short keys that came up twice: what was used lately stays."""
+
+    MARKS = 1 << 19
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.met, self.marked = make, {}, bytearray(self.MARKS), 0
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+            mark = hash(key) & (self.MARKS - 1)
+            if not self.met[mark]:
+                self.met[mark] = 1
+                self.marked += 1
+                if 2 * self.marked > self.MARKS:
+                    self.met, self.marked = bytearray(self.MARKS), 0
+                return value
         if len(key) <= 64:
             if len(self) >= CACHE_ENTRIES:
                 self.older = dict(self)
