@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import STOPWORDS, digest, token_estimate, tokens
+from .functions.tokenizer import distinct_tokens
 from .operators import diff, evaluation, graph, lessons, linking, packing, ranking
-from .storage import stage
+from .storage import stage, workers_import_this
 
 QUERY = "der que erst"
 PART_QUERY = "red bolts"
@@ -94,8 +95,8 @@ def tokenize_terms(spark, sf_dir):
 
 @query(f"WITH {token_ctes('k', DOCS)} SELECT term, count(DISTINCT id) AS df FROM k GROUP BY term")
 def doc_frequency(spark, sf_dir):
-    terms = F.array_distinct(tokens(F.col("text")))
-    return t(spark, sf_dir, "documents").select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    workers_import_this(spark)
+    return t(spark, sf_dir, "documents").select(F.explode(distinct_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"WITH {bm25_ctes('b', DOCS, DOC_TERMS)} SELECT id AS doc_id, round(score, 6) AS score, terms FROM (SELECT * FROM b ORDER BY score DESC, id LIMIT 20)")

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from brindle.functions.text import STOPWORDS, token_estimate, tokens
+from brindle.functions.tokenizer import corpus_tokens, distinct_tokens, text_terms
 from brindle.operators import packing, ranking
 
 WORDS = ["renewPaymentTotal", "HTTPServer2", "retries", "processing", "snake_case_name", "x", "the", "class", "bus", "4", "__init__", "parseURL", "is", "glass", "ABC", "aB3c"]
@@ -32,15 +33,15 @@ def slow_tokens(text):
 
 def test_tokens(spark):
     texts = [" ".join(WORDS), "", "é ñandú_Größe", "a-b.c(d)"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens(F.col("t")).alias("k")).collect()
-    assert all(r.k == slow_tokens(r.t) for r in rows)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens(F.col("t")).alias("k"), corpus_tokens(F.col("t")).alias("c"), distinct_tokens(F.col("t")).alias("d")).collect()
+    assert all(r.k == slow_tokens(r.t) == r.c and sorted(r.d) == sorted(set(r.k)) for r in rows)
 
 
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.text(alphabet="abcsiygnABC_019 .", max_size=30), min_size=1, max_size=30))
 def test_tokens_of_any_text(spark, texts):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens(F.col("t")).alias("k")).collect()
-    assert all(r.k == slow_tokens(r.t) for r in rows)
+    assert all(r.k == slow_tokens(r.t) == text_terms(r.t) for r in rows)
 
 
 def slow_bm25(docs, terms):
