@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..storage import stage, workers_import_this
 
 # What a capture leaves out.
-EXCLUDED = (".git", ".venv", "venv", "env", "node_modules", "__pycache__", "build", "dist", ".diffcontext", "site-packages")
+EXCLUDED = (".git", ".venv", "venv", "env", "node_modules", "__pycache__", "build", "dist", "site-packages")
 MOST_BYTES = 1_000_000
 SUFFIXES = (".py", ".ts", ".tsx", ".js", ".jsx", ".mts", ".mjs")
 NOT_SOURCE = (".d.ts", ".d.mts", ".min.js", ".min.mjs")
