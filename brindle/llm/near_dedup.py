@@ -150,11 +150,14 @@ def features(at: DataFrame, settings: Settings, key: str, text: str) -> DataFram
     return slim.mapInArrow(hashed, f"key {kind}, _file string, _row long, size long, digest binary, buckets array<long>")
 
 
-def confirmed(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, at: DataFrame, settings: Settings, text: str) -> DataFrame:
-    """The pairs (a, b) of nodes, with ``linked``: compared on the full sets of their texts."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    places = nodes.join(needed, "node", "left_semi").select("node", F.col("first.file").alias("_file"), F.col("first.row").alias("_row"))
-    texts = materialize(spark, at.select("_file", "_row", F.col(text).alias("text")).join(places, ["_file", "_row"]).select("node", "text"), "near-texts")
+def texts_of(nodes: DataFrame, wanted: DataFrame, at: DataFrame, text: str) -> DataFrame:
+    """(node, text) of the wanted nodes (node), from the rows that stand for them."""
+    places = nodes.join(wanted, "node", "left_semi").select("node", F.col("first.file").alias("_file"), F.col("first.row").alias("_row"))
+    return at.select("_file", "_row", F.col(text).alias("text")).join(places, ["_file", "_row"]).select("node", "text")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) of nodes, with ``linked``: compared on the full sets of their texts (node, text)."""
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
@@ -206,6 +209,7 @@ class _Links:
         self.part: DataFrame | None = None
         self.compared: DataFrame | None = None
         self.first: DataFrame | None = None
+        self.texts: DataFrame | None = None  # of the nodes of the rounds after the first
 
     def split(self, open_: DataFrame) -> DataFrame | None:
         """The rows, with component, of the buckets that hold several components; None if there are none."""
@@ -237,7 +241,11 @@ class _Links:
         if self.compared is not None:
             pairs = pairs.join(self.compared, ["low", "high"], "left_anti")
         pairs = materialize(self.spark, pairs, "near-pairs")
-        judged = materialize(self.spark, confirmed(self.spark, pairs, self.nodes, self.at, self.settings, self.text), "near-judged")
+        texts = self.texts
+        if texts is None:
+            asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+            texts = materialize(self.spark, texts_of(self.nodes, asked, self.at, self.text), "near-texts")
+        judged = materialize(self.spark, confirmed(pairs, texts, self.settings), "near-judged")
         found = judged.where("linked").select("a", "b")
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.union(found)
@@ -283,20 +291,21 @@ def _may_link(settings: Settings) -> Column:
     return F.coalesce((a["pivot"] != b["pivot"]) | ((100 + settings.percent) * apart <= room), F.lit(True))
 
 
-def prefixes(spark: SparkSession, live: DataFrame, nodes: DataFrame, at: DataFrame, first: DataFrame, settings: Settings, text: str) -> DataFrame:
+def pivots(spark: SparkSession, live: DataFrame, first: DataFrame) -> DataFrame:
+    """(node, pivot): of the centres that a node was compared with in the first round, the one most of them share."""
+    own = first.select(F.col("b").alias("node"), F.col("a").alias("pivot")).join(live, "node")
+    popular = own.groupBy("pivot").agg(F.count("*").alias("nodes"))
+    chosen = own.join(popular, "pivot").groupBy("node").agg(F.max(F.struct("nodes", "pivot")).alias("best")).select("node", "best.pivot")
+    return materialize(spark, chosen, "near-pivots")
+
+
+def prefixes(spark: SparkSession, live: DataFrame, texts: DataFrame, chosen: DataFrame, settings: Settings) -> DataFrame:
     """(bucket, node, size, weight, mark): the prefix shingles of the nodes that another of them has too.
 
     With shingles in order of how many of these nodes have them, a set of n
-    has a prefix of n - ceil(n * percent / 100) + 1.  ``first`` has the
-    comparisons with the centres of the first round.
+    has a prefix of n - ceil(n * percent / 100) + 1.  ``texts`` has those of
+    the nodes and of the pivots (see ``pivots``).
     """
-    own = first.select(F.col("b").alias("node"), F.col("a").alias("pivot")).join(live, "node")
-    popular = own.groupBy("pivot").agg(F.count("*").alias("nodes"))
-    chosen = own.join(popular, "pivot").groupBy("node").agg(F.max(F.struct("nodes", "pivot")).alias("best")).select("node", "best.pivot")
-    chosen = materialize(spark, chosen, "near-pivots")
-    asked = live.select("node").union(chosen.select(F.col("pivot").alias("node"))).distinct()
-    places = nodes.join(asked, "node", "left_semi").select("node", F.col("first.file").alias("_file"), F.col("first.row").alias("_row"))
-    texts = at.select("_file", "_row", F.col(text).alias("text")).join(places, ["_file", "_row"]).select("node", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = hasher(settings)
@@ -344,7 +353,11 @@ def link_components(spark: SparkSession, at: DataFrame, settings: Settings, key:
     state = _Links(spark, nodes, at, settings, text)
     rest = state.round(open_, 1)
     if rest is not None and (split := state.split(rest)) is not None:
-        open_, centres = prefixes(spark, materialize(spark, split.select("node").distinct(), "near-rest"), nodes, at, state.first, settings, text), 64
+        live = materialize(spark, split.select("node").distinct(), "near-rest")
+        chosen = pivots(spark, live, state.first)
+        asked = live.union(chosen.select(F.col("pivot").alias("node"))).distinct()
+        state.texts = materialize(spark, texts_of(nodes, asked, at, text), "near-texts")
+        open_, centres = prefixes(spark, live, state.texts, chosen, settings), 64
         while open_ is not None:
             open_, centres = state.round(open_, centres), centres * 8
 
