@@ -25,7 +25,7 @@ RULES = [
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "warc")
-    return warc.read(spark, warc.write(spark, table(spark, sf_dir, "pages"), root), root)
+    return warc.read(spark, warc.write(spark, table(spark, sf_dir, "pages"), root), root).drop("archive")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,56 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+WARC = """
+WITH sized AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (SELECT payload_digest, min(page_id) AS first FROM sized GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM sized JOIN firsts USING (payload_digest)
+"""
+
+MIX = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('0:' || doc_id) AS h FROM documents
+), per_source AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sized GROUP BY source
+), weighed AS (SELECT *, [1.0::DOUBLE, 2.0, 3.0][(sid - 1) % 3 + 1] AS weight, source_size * 3.0::DOUBLE AS cap FROM per_source
+), levels AS (
+  SELECT *, cap / weight AS ratio,
+    ((SELECT sum(source_size) FROM weighed)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed
+), opened AS (SELECT ratio AS r, sid AS i, level AS l FROM levels WHERE level <= ratio ORDER BY ratio, sid LIMIT 1
+), blocked AS (
+  SELECT source, sid, source_size, CASE WHEN (ratio, sid) < (r, i) THEN cap ELSE coalesce(l * weight, cap) END AS target,
+    CASE WHEN source_size > 0 THEN greatest(1, source_size // greatest(1, least(256, (SELECT sum(source_size) FROM weighed) // (8192 * (SELECT count(*) FROM weighed))))) ELSE 0 END::BIGINT AS blocks
+  FROM levels LEFT JOIN opened ON true
+), slotted AS (SELECT *, CASE WHEN blocks > 0 THEN target / (source_size / blocks) ELSE 0 END AS slots FROM blocked
+), spans AS (
+  SELECT sid, blocks, low, coalesce(lead(low) OVER (ORDER BY sid), 1.0) AS high FROM (
+    SELECT sid, blocks, coalesce(sum(slots / (SELECT sum(slots) FROM slotted)) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS low FROM slotted WHERE slots > 0)
+), points AS (
+  SELECT id, (id + 1) * 0.6180339887498949::DOUBLE - floor((id + 1) * 0.6180339887498949::DOUBLE) AS u FROM range((SELECT CAST(round(sum(slots)) AS BIGINT) FROM slotted)) p(id)
+), ranked AS (SELECT sid, blocks, row_number() OVER (PARTITION BY sid ORDER BY id) - 1 AS nth FROM points JOIN spans ON u >= low AND u < high
+), times AS (SELECT sid, nth % blocks AS block, count(*) AS times FROM ranked WHERE nth < blocks * 3 GROUP BY ALL
+), placed AS (
+  SELECT doc_id, size, sid, source_size, target, blocks, source_size // nullif(blocks, 0) AS short, source_size % nullif(blocks, 0) AS longer,
+    CAST(coalesce(sum(size) OVER (PARTITION BY sid ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM sized JOIN slotted ON sized.source IS NOT DISTINCT FROM slotted.source
+), ends AS (
+  SELECT *, CASE WHEN start < longer * (short + 1) THEN start // (short + 1) ELSE longer + (start - longer * (short + 1)) // short END AS b0,
+    CASE WHEN start + size - 1 < longer * (short + 1) THEN (start + size - 1) // (short + 1) ELSE longer + (start + size - 1 - longer * (short + 1)) // short END AS b1
+  FROM placed WHERE size > 0
+), pieces AS (SELECT *, unnest(range(b0, b1 + 1)) AS block FROM ends
+), taken AS (
+  SELECT doc_id, sum((least(start + size, (p.block + 1) * short + least(p.block + 1, longer)) - greatest(start, p.block * short + least(p.block, longer))) * coalesce(times, 0)) AS taken
+  FROM pieces p LEFT JOIN times t ON t.sid = p.sid AND t.block = p.block GROUP BY doc_id
+)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM placed LEFT JOIN taken USING (doc_id)
+"""
+
 EXACT_DEDUP = r"""
 WITH sized AS (
   SELECT doc_id, coalesce(length(text), 0) AS n,
@@ -84,4 +134,4 @@ FROM sized JOIN stays USING (text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": EXACT_DEDUP}
+    return {"op1_warc": WARC, "op4_exact_dedup": EXACT_DEDUP, "op8_mix": MIX}
