@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import SPACES, located, materialize, named, scratch, text_or_empty
+from .runtime import SPACES, located, materialize, named, scratch, settings_of, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,7 +25,7 @@ class Settings:
     #: Files of arrivals that one batch takes, at most.
     files_per_batch: int = 2000
     #: Memory in MB that the state stores of one executor share.
-    state_memory_mb: int = 256
+    state_memory_mb: int = 128
     #: Up to so many digests of groups are sent to every task; beyond, they are joined by a shuffle.
     broadcast_digests: int = 1_000_000
 
@@ -64,21 +64,16 @@ def run_stream(spark: SparkSession, arrived: str, schema, checkpoint: str, setti
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(settings.state_memory_mb),
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.metricsEnabled": "false",
     }
-    before = {k: spark.conf.get(k, None) for k in ours}
-    for k, v in ours.items():
-        spark.conf.set(k, v)
-    try:
+    with settings_of(spark, **{k.replace(".", "__"): v for k, v in ours.items()}):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", settings.files_per_batch).parquet(arrived)
         query = keyed_state(stream).writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         state = spark.read.format("statestore").load(checkpoint)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     value = state.schema["value"].dataType.names
     return state.select(F.col("key.digest").alias("digest"), F.col(f"value.`{value[0]}`").alias("first"), F.col(f"value.`{value[1]}`").alias("size"))
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import located, materialize, named, workers_import_this
+from .runtime import located, materialize, named, settings_of, workers_import_this
 
 
 @dataclass(frozen=True)
@@ -337,6 +337,12 @@ def prefixes(spark: SparkSession, live: DataFrame, texts: DataFrame, chosen: Dat
 def link_components(spark: SparkSession, at: DataFrame, settings: Settings, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Features of all rows, and (digest, component key, place of the row that stays) of all sets."""
     workers_import_this(spark)
+    # whole texts, and pairs of them, go to Python: a thousand at a time bound what a task holds
+    with settings_of(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+        return _link_components(spark, at, settings, key, text)
+
+
+def _link_components(spark: SparkSession, at: DataFrame, settings: Settings, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     rows = materialize(spark, features(at, settings, key, text), "near-features")
     first = F.struct(F.col("key").isNull().alias("nameless"), F.col("key").alias("key"), F.col("_file").alias("file"), F.col("_row").alias("row"))
     alike = rows.where("size > 0").groupBy("digest").agg(F.min(first).alias("first"), F.first("size").alias("size"))

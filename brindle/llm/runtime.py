@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -55,6 +57,20 @@ def workers_import_this(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
+@contextlib.contextmanager
+def settings_of(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots written as ``__``) for what is computed inside, put back afterwards."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def located(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Add ``_file`` and ``_row``: where a row lies in its Parquet files.
 
