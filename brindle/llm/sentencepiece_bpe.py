@@ -2,8 +2,8 @@
 
 The encoder finds the unique merge result without running merges over the
 text.  An Aho-Corasick automaton gives the longest vocabulary entry at each
-position.  A token may follow another only if re-merging the two tokens' text
-gives exactly these two.  Where no entry fits, the encoder steps back one token
+position.  A token may follow another only if re-merging the two tokens' text,
+followed along the seam between them, gives exactly these two.  Where no entry fits, the encoder steps back one token
 and marks the position as failed in a bitfield, so no position fails twice.
 
 A text is cut at word starts first: no entry of the supported models has the
@@ -67,15 +67,18 @@ class Backtracker:
             self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), None) for p in self.ids}
-        self.compatible = functools.lru_cache(1 << 18)(lambda a, b: self.merged(a + b) == [a, b])
+        self.compatible = functools.lru_cache(1 << 18)(self._compatible)
         self.reachable = functools.lru_cache(1 << 16)(lambda a: self.merged(a) == [a])
+        self.halves = functools.lru_cache(1 << 16)(self._halves)
         self.joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.stems, self.kept = _Kept(self._stem), _Kept(self._word)
 
-    def merged(self, text: str) -> list[str]:
+    def merged(self, text: str, down_to: int = 1) -> list[str]:
         """Plain merging, best score first and leftmost among equals; for short texts."""
         parts = list(text)
         while True:
+            if len(parts) <= down_to:
+                return parts
             best, at = None, -1
             for i in range(len(parts) - 1):
                 score = self.scores.get(parts[i] + parts[i + 1])
@@ -85,6 +88,34 @@ class Backtracker:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _halves(self, token: str) -> tuple[str, str] | None:
+        """What the last merge of a token joined; None for a single character."""
+        parts = self.merged(token, down_to=2)
+        return (parts[0], parts[1]) if len(parts) == 2 else None
+
+    def _compatible(self, a: str, b: str) -> bool:
+        """Whether merging the text of two reachable tokens gives these two again.
+
+        Undoes the later of the two tokens' last merges at the seam, again and
+        again, and looks whether the parts that then met would have merged
+        first.  Runs of word marks have equal scores, so these are merged again.
+        """
+        if a[-1] == MARK or not (self.reachable(a) and self.reachable(b)):
+            return self.merged(a + b) == [a, b]
+        score, low, strict = self.scores.get, float("-inf"), False
+        # a pair at the seam wins if its score is above ``low``, or equal and ``strict`` is false
+        while True:
+            joined = score(a + b)
+            if joined is not None and (joined > low or joined == low and not strict):
+                return False
+            left, right = self.halves(a), self.halves(b)
+            if left is None and right is None:
+                return True
+            if right is None or left is not None and self.scores[a] < self.scores[b]:
+                low, strict, a = self.scores[a], True, left[1]
+            else:
+                low, strict, b = self.scores[b], False, right[0]
+
     def encode_known(self, text: str) -> list[str]:
         """Tokens of a text all of whose characters are entries."""
         n = len(text)
@@ -93,23 +124,24 @@ class Backtracker:
             start = end + 1 - size
             if size > longest[start]:
                 longest[start] = size
-        open_positions = (1 << (n + 1)) - 1
+        failed = 0  # a bit per position
         tokens: list[str] = []
-        at, token = 0, text[: longest[0]]
+        at, token, last = 0, text[: longest[0]], None
+        fits, shorter = self.compatible, self.shorter
         while token:
-            last = tokens[-1] if tokens else None
             end = at + len(token)
-            if open_positions >> end & 1 and (self.compatible(last, token) if last else self.reachable(token)):
+            if not failed >> end & 1 and (fits(last, token) if last else self.reachable(token)):
                 tokens.append(token)
-                at, token = end, text[end : end + longest[end]] if end < n else ""
-            elif self.shorter[token]:
-                token = self.shorter[token]
+                last, at, token = token, end, text[end : end + longest[end]]
+            elif shorter[token]:
+                token = shorter[token]
             else:
                 if last is None:
                     raise ValueError(f"no encoding for {text!r}")
-                open_positions &= ~(1 << at)
+                failed |= 1 << at
                 at -= len(last)
                 token = tokens.pop()
+                last = tokens[-1] if tokens else None
         return tokens
 
     def encode_piece(self, text: str) -> list[int]:
@@ -118,6 +150,8 @@ class Backtracker:
         Cut where no entry has the two characters side by side: no merge
         crosses such a place.  A character that is no entry becomes its bytes.
         """
+        if text[1:].isascii() and text[1:].isalpha():  # entries all; cutting such a word would save nothing
+            return list(self.stems[text])
         joints, stems, out, start = self.joints, self.stems, [], 0
         for i in range(1, len(text)):
             if text[i - 1 : i + 1] not in joints:
@@ -131,6 +165,8 @@ class Backtracker:
         return tuple(map(self.ids.__getitem__, self.encode_known(text)))
 
     def decode_piece(self, ids: list[int]) -> str:
+        if self.bytes.keys().isdisjoint(ids):
+            return "".join(map(self.pieces.__getitem__, ids)).replace(MARK, " ")
         out, pending = [], bytearray()
         for i in ids:
             if i in self.bytes:
