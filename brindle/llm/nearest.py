@@ -2,9 +2,10 @@
 
 A hash is the signed axis nearest to a unit vector after a pseudo-rotation:
 three rounds of random signs and a fast Hadamard transform.  A table's bucket
-is one or more hashes, by the number of vectors; a query looks into the buckets
-of the nearest axes of each table.  What these hold is ranked exactly, on the
-original vectors in double precision.
+is one hash, however many the vectors: buckets of several hashes would need far
+more probes for the same recall.  A query looks into the buckets of the nearest
+axes of each table.  What these hold is ranked exactly, on the original vectors
+in double precision.
 
 For the largest inner product, vectors of unequal length get one more component
 that makes them equally long, which leaves the order of inner products as the
@@ -30,8 +31,6 @@ class Settings:
     tables: int = 20
     #: Buckets of a table that a query looks into.
     probes: int = 8
-    #: A bucket has one more hash for each power of twice the dimension that there are more vectors than this.
-    vectors_per_hash: int = 10_000_000
     #: Vectors that a task holds at once; larger buckets are dealt out.
     chunk: int = 1 << 14
     #: Queries of an exact search that are sent to all tasks at once.
@@ -44,7 +43,6 @@ class Shape:
     """What the hashes need to know of all vectors."""
 
     dimension: int
-    hashes: int
     longest: float
     #: Whether lengths differ, so that a component is added.
     uneven: bool
@@ -59,7 +57,7 @@ class Hashes:
     def __init__(self, shape: Shape, settings: Settings):
         self.shape, self.settings = shape, settings
         rng = np.random.Generator(np.random.PCG64(settings.seed))
-        self.signs = rng.choice(np.array([-1.0, 1.0]), (settings.tables, shape.hashes, 3, shape.width))
+        self.signs = rng.choice(np.array([-1.0, 1.0]), (settings.tables, 3, shape.width))
 
     def unit(self, x: np.ndarray, query: bool) -> np.ndarray:
         out = np.zeros((len(x), self.shape.width))
@@ -71,34 +69,21 @@ class Hashes:
             out[:, :d] = x / np.linalg.norm(x, axis=1)[:, None]
         return out
 
-    def rotated(self, x: np.ndarray, table: int, k: int) -> np.ndarray:
-        for signs in self.signs[table, k]:
+    def rotated(self, x: np.ndarray, table: int) -> np.ndarray:
+        for signs in self.signs[table]:
             x = hadamard(x * signs)
         return x
 
     def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
         """One bucket per row."""
-        out = np.zeros(len(x), np.int64)
-        for k in range(self.shape.hashes):
-            y = self.rotated(x, table, k)
-            axis = np.abs(y).argmax(axis=1)
-            out = out * (2 * self.shape.width) + axis + self.shape.width * (y[np.arange(len(y)), axis] < 0)
-        return out
+        y = self.rotated(x, table)
+        axis = np.abs(y).argmax(axis=1)
+        return axis + self.shape.width * (y[np.arange(len(y)), axis] < 0)
 
     def probed(self, x: np.ndarray, table: int) -> np.ndarray:
-        """The buckets that each row looks into, nearest first; sums of several hashes' ranks are by closeness."""
-        n = min(self.settings.probes, 2 * self.shape.width)
-        codes, scores = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
-        for k in range(self.shape.hashes):
-            y = self.rotated(x, table, k)
-            both = np.concatenate([y, -y], axis=1)
-            axes = np.argsort(-both, axis=1, kind="stable")[:, :n]
-            near = np.take_along_axis(both, axes, axis=1)
-            scores = (scores[:, :, None] + near[:, None, :]).reshape(len(x), -1)
-            codes = (codes[:, :, None] * (2 * self.shape.width) + axes[:, None, :]).reshape(len(x), -1)
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-            scores, codes = np.take_along_axis(scores, best, axis=1), np.take_along_axis(codes, best, axis=1)
-        return codes
+        """The buckets that each row looks into, nearest first."""
+        y = self.rotated(x, table)
+        return np.argsort(-np.concatenate([y, -y], axis=1), axis=1, kind="stable")[:, : self.settings.probes]
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -139,10 +124,7 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, settings:
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == sizes.d)
-    hashes = 1
-    while settings.vectors_per_hash * (2 * sizes.d) ** (hashes - 1) < sizes.n:
-        hashes += 1
-    shape = Shape(sizes.d, hashes, sizes.longest, sizes.shortest < 0.999 * sizes.longest, sizes.n)
+    shape = Shape(sizes.d, sizes.longest, sizes.shortest < 0.999 * sizes.longest, sizes.n)
 
     once = Window.partitionBy("id").orderBy(F.xxhash64("v"))
     queries = rows.where(is_query).withColumn("nth", F.row_number().over(once)).where("nth = 1").select("id", "v")
@@ -194,7 +176,7 @@ def candidates(spark: SparkSession, rows: DataFrame, queries: DataFrame, shape:
     # as many rows as tables have buckets in use
     counts = index.groupBy("t", "b").agg(F.ceil(F.count("*") / settings.chunk).cast("int").alias("chunks"))
     counts = materialize(spark, counts, "bucket-chunks")
-    most = settings.tables * (2 * shape.width) ** shape.hashes
+    most = settings.tables * 2 * shape.width
     small = F.broadcast(counts) if most <= 1 << 20 else counts
     dealt = index.join(small, ["t", "b"]).withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("kind", F.lit(0))
     asked = queries.select("id", F.col("v").cast("array<float>").alias("v")).mapInArrow(hashed(True), v)

@@ -255,6 +255,19 @@ def test_nearest_of_few(spark):
     assert nearest.search(spark, spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_nearest_recall_at_any_size(spark):
+    """A bound on the vectors of one hash, where the settings have one, is exceeded."""
+    bound = {"vectors_per_hash": 2000} if hasattr(nearest.Settings, "vectors_per_hash") else {}
+    x = np.random.default_rng(6).normal(size=(3000, 32)).astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = Counter()
+    for r in nearest.search(spark, rows, F.col("id") % 100 == 0, nearest.Settings(**bound)).collect():
+        score = x @ x[r.query_id]
+        got[r.query_id] += r.vec_id in np.argsort(-score)[1:21]
+    assert len(got) == 30 and sum(got.values()) >= 0.9 * 30 * 20
+
+
 def test_hadamard():
     h = nearest.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16)) and np.allclose(np.abs(h), 0.25)
