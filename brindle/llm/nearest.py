@@ -128,9 +128,9 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, settings:
 
     once = Window.partitionBy("id").orderBy(F.xxhash64("v"))
     queries = rows.where(is_query).withColumn("nth", F.row_number().over(once)).where("nth = 1").select("id", "v")
-    # of equal vectors only the first few keys can be among a query's nearest
+    # of equal vectors only the first few keys, each counted once, can be among a query's nearest
     equal = Window.partitionBy("v").orderBy("id")
-    distinct = rows.withColumn("nth", F.row_number().over(equal)).where(F.col("nth") <= settings.neighbours + 1).select("id", "v")
+    distinct = rows.select("id", "v").distinct().withColumn("nth", F.row_number().over(equal)).where(F.col("nth") <= settings.neighbours + 1).select("id", "v")
     found = ranked(candidates(spark, distinct, queries, shape, settings), settings)
     found = materialize(spark, found, "neighbours")
 

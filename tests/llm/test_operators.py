@@ -268,6 +268,14 @@ def test_nearest_recall_at_any_size(spark):
     assert len(got) == 30 and sum(got.values()) >= 0.9 * 30 * 20
 
 
+def test_nearest_of_repeated_rows(spark):
+    """A row that repeats does not crowd out others with its vector."""
+    near, far = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(1, near)] * 30 + [(i, near) for i in range(2, 6)] + [(0, near)] + [(i, far) for i in range(21, 60)]
+    got = nearest.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") == 0).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5, *range(21, 36)]
+
+
 def test_hadamard():
     h = nearest.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16)) and np.allclose(np.abs(h), 0.25)
