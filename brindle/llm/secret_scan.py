@@ -34,6 +34,7 @@ UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Words of letters, each with digits at its end at most: names, paths, slugs.
 WORDS = re.compile(r"[/_=+-]*(?:[A-Za-z][a-z]{2,}[0-9]{0,4}(?:[/_=+-]+|(?=[A-Z])|$))+|[A-Z]+(?:_[A-Z]+)*|[a-z]+")
+PART = re.compile(r"[A-Za-z0-9]+")
 
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
@@ -45,8 +46,10 @@ class TokenEfficiency:
     rank_file: str
     pattern: str
     chars_per_token: float = 2.2
-    #: Runs beyond this many characters are judged in windows of this size.
+    #: Runs beyond this many characters are encoded in pieces of this size.
     window: int = 4096
+    #: A run of letters with a larger share of ``/ = - _ +`` is a list of short words.
+    joints: float = 0.2
 
 
 @functools.lru_cache(2)
@@ -71,8 +74,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def is_known_form(run: str) -> bool:
-    """Digests by their length, UUIDs, decimal numbers, and names made of words."""
-    return bool(run.isdigit() or UUID.fullmatch(run) or HEX_ONLY.fullmatch(run) and len(run) in DIGEST_LENGTHS or WORDS.fullmatch(run))
+    """Digests by their length, UUIDs and decimal numbers."""
+    return bool(run.isdigit() or UUID.fullmatch(run) or HEX_ONLY.fullmatch(run) and len(run) in DIGEST_LENGTHS)
 
 
 def random_spans(text: str, test: TokenEfficiency, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -80,17 +83,41 @@ def random_spans(text: str, test: TokenEfficiency, taken: list[tuple[int, int, s
     found = []
     for m in RUN.finditer(text):
         run = m[0]
-        if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or is_known_form(run):
+        if is_known_form(run) or any(a <= m.start() and m.end() <= b for a, b, _ in taken):
             continue
-        if any(a <= m.start() and m.end() <= b for a, b, _ in taken):
-            continue
-        encode = _encoding(test.rank_file, test.pattern).encode_ordinary
-        parts = [run[i : i + test.window] for i in range(0, len(run), test.window)]
-        if len(run) < test.chars_per_token * sum(len(encode(p)) for p in parts):
-            found.append((m.start(), m.end(), "random"))
+        for i, j in random_parts(run, test):
+            i, j = m.start() + i, m.start() + j
+            if not any(a <= i and j <= b for a, b, _ in taken):
+                found.append((i, j, "random"))
     return found
 
 
+def random_parts(run: str, test: TokenEfficiency) -> list[tuple[int, int]]:
+    """The whole run, if it is random.
+
+    Tokens of ``/ = - _ +`` don't count in a run of words, or without a letter or a digit.
+    """
+    encode = _encoding(test.rank_file, test.pattern).encode_ordinary
+    if re.search("[0-9]", run) and re.search("[A-Za-z]", run) and not WORDS.fullmatch(run):
+        pieces = [run[i : i + test.window] for i in range(0, len(run), test.window)]
+        if len(run) < test.chars_per_token * sum(len(encode(p)) for p in pieces):
+            return [(0, len(run))]
+    tokens = [t for part in PART.finditer(run) for t in _tokens(part[0], part.start(), test)]
+    chars = sum(b - a for a, b in tokens)
+    random = chars < test.chars_per_token * len(tokens) and len(run) - chars <= test.joints * len(run)
+    return [(0, len(run))] if random else []
+
+
+def _tokens(part: str, at: int, test: TokenEfficiency) -> list[tuple[int, int]]:
+    """Start and end of each token of a part that begins at ``at``."""
+    encoding, out = _encoding(test.rank_file, test.pattern), []
+    for i in range(0, len(part), test.window):
+        for token in encoding.encode_ordinary(part[i : i + test.window]):
+            out.append((at, at + len(encoding.decode_single_token_bytes(token))))
+            at = out[-1][1]
+    return out
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 

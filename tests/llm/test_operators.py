@@ -61,6 +61,18 @@ def test_secrets(spark, hard):
     assert got[903].n_random == 1 and got[903].spans.startswith("random:4:24")
 
 
+def test_secrets_of_letters():
+    test = secret_scan.TokenEfficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(2)
+    found = lambda text: [(a, b) for a, b, _ in secret_scan.random_spans(text, test, [])]
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters in (lower, upper, lower + upper):
+        for _ in range(50):
+            assert found("see " + "".join(rng.choices(letters, k=32)) + " here") == [(4, 36)]
+    for plain in ("internationalization", "MAX_BUFFER_SIZE_LIMIT", "DEFAULT_CONNECTION_TIMEOUT_SECONDS", "getElementsByTagNameNS", "how-to-go-to-an-in-on-of-it", "src/main/java/com/example/app", "-" * 40):
+        assert found(plain) == [], plain
+
+
 def test_url_rules_and_model(spark):
     rng = random.Random(1)
     urls = [f"http://{'ads-' if bad else ''}{rng.choice(['news', 'shop'])}.example.{'net' if bad else 'org'}/{'xx' if bad else 'fr'}/{rng.randint(0, 999)}" for bad in rng.choices([True, False], k=400)]
