@@ -2,7 +2,8 @@
 
 A byte-pair vocabulary spends few tokens on text like that it was made from and
 many on random strings.  A run of key characters with few characters per token
-is reported, unless it has the form of a known digest or identifier.
+is reported, unless it has the form of a known digest or identifier.  So is what
+is random within a run: a part between ``/ = - _ +``, or a window.
 """
 
 from __future__ import annotations
@@ -48,7 +49,9 @@ class TokenEfficiency:
     chars_per_token: float = 2.2
     #: Runs beyond this many characters are encoded in pieces of this size.
     window: int = 4096
-    #: A run of letters with a larger share of ``/ = - _ +`` is a list of short words.
+    #: Letters and digits in the windows of a run that are judged, at least.
+    windows: tuple[int, ...] = (20, 32, 64)
+    #: A window with a larger share of ``/ = - _ +`` is a list of short words.
     joints: float = 0.2
 
 
@@ -93,19 +96,37 @@ def random_spans(text: str, test: TokenEfficiency, taken: list[tuple[int, int, s
 
 
 def random_parts(run: str, test: TokenEfficiency) -> list[tuple[int, int]]:
-    """The whole run, if it is random.
+    """The whole run if it is random, else what is random in it: parts and windows, joined where they overlap.
 
-    Tokens of ``/ = - _ +`` don't count in a run of words, or without a letter or a digit.
+    Letters and digits between two joints are a part.  Tokens of joints don't
+    count in parts and windows, and no window goes over a known form.  A run of
+    words, or without a letter or a digit, is judged by its parts and windows only.
     """
     encode = _encoding(test.rank_file, test.pattern).encode_ordinary
     if re.search("[0-9]", run) and re.search("[A-Za-z]", run) and not WORDS.fullmatch(run):
         pieces = [run[i : i + test.window] for i in range(0, len(run), test.window)]
         if len(run) < test.chars_per_token * sum(len(encode(p)) for p in pieces):
             return [(0, len(run))]
-    tokens = [t for part in PART.finditer(run) for t in _tokens(part[0], part.start(), test)]
-    chars = sum(b - a for a, b in tokens)
-    random = chars < test.chars_per_token * len(tokens) and len(run) - chars <= test.joints * len(run)
-    return [(0, len(run))] if random else []
+    known = [u.span() for u in UUID.finditer(run) if not (run[u.start() - 1 : u.start()].isalnum() or run[u.end() : u.end() + 1].isalnum())]
+    spans, stretch = [], []
+    for part in PART.finditer(run):
+        a, b = part.span()
+        if any(i <= a and b <= j for i, j in known) or part[0].isdigit() and b - a >= 4 or is_known_form(part[0]) and not part[0].isdigit():
+            spans += _windows(stretch, test)
+            stretch = []
+            continue
+        tokens = _tokens(part[0], a, test)
+        if b - a >= min(test.windows) and b - a < test.chars_per_token * len(tokens):
+            spans.append((a, b))
+        stretch += tokens
+    spans += _windows(stretch, test)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _tokens(part: str, at: int, test: TokenEfficiency) -> list[tuple[int, int]]:
@@ -118,6 +139,24 @@ def _tokens(part: str, at: int, test: TokenEfficiency) -> list[tuple[int, int]]:
     return out
 
 
+def _windows(tokens: list[tuple[int, int]], test: TokenEfficiency) -> list[tuple[int, int]]:
+    """From each token on, the shortest span with as many characters in tokens as a window has, if it is random."""
+    found = []
+    for least in test.windows:
+        j = chars = 0
+        for i, (a, b) in enumerate(tokens):
+            while j < len(tokens) and chars < least:
+                chars += tokens[j][1] - tokens[j][0]
+                j += 1
+            if chars < least:
+                break
+            span = tokens[j - 1][1] - a
+            if chars < test.chars_per_token * (j - i) and span - chars <= test.joints * span:
+                found.append((a, tokens[j - 1][1]))
+            chars -= b - a
+    return found
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 

@@ -61,7 +61,7 @@ def test_secrets(spark, hard):
     assert got[903].n_random == 1 and got[903].spans.startswith("random:4:24")
 
 
-def test_secrets_of_letters():
+def test_secrets_of_letters_and_within_runs():
     test = secret_scan.TokenEfficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rng = random.Random(2)
     found = lambda text: [(a, b) for a, b, _ in secret_scan.random_spans(text, test, [])]
@@ -69,7 +69,13 @@ def test_secrets_of_letters():
     for letters in (lower, upper, lower + upper):
         for _ in range(50):
             assert found("see " + "".join(rng.choices(letters, k=32)) + " here") == [(4, 36)]
-    for plain in ("internationalization", "MAX_BUFFER_SIZE_LIMIT", "DEFAULT_CONNECTION_TIMEOUT_SECONDS", "getElementsByTagNameNS", "how-to-go-to-an-in-on-of-it", "src/main/java/com/example/app", "-" * 40):
+    for path in ("internal/services/authentication/production/credentials/", "internal/services/production-credentials/rotation/", "word" * 1050):
+        for n, letters in ((20, lower + upper + "0123456789"), (60, lower + upper + "0123456789+/")):
+            key = "x" + "".join(rng.choices(letters, k=n - 2)) + "Q"
+            spans = found(path + key)
+            assert sum(max(0, min(b, len(path) + n) - max(a, len(path))) for a, b in spans) >= 0.8 * n
+            assert n == 60 and spans == [(0, len(path) + n)] or all(a >= len(path) - 64 for a, _ in spans)  # the whole run, or about the key
+    for plain in ("internationalization", "MAX_BUFFER_SIZE_LIMIT", "DEFAULT_CONNECTION_TIMEOUT_SECONDS", "getElementsByTagNameNS", "how-to-go-to-an-in-on-of-it", "src/main/java/com/example/app", "docs/internationalization/sources/d41d8cd98f00b204e9800998ecf8427e", "downloads/internationalization/123e4567-e89b-12d3-a456-426614174000", "-" * 40):
         assert found(plain) == [], plain
 
 
