@@ -3,7 +3,9 @@
 Two variable-order Markov models over characters, for accepted and for rejected
 URLs, share one table of contexts.  A URL's score is the difference of its
 log-likelihoods per character; the threshold is calibrated on labelled URLs
-that the models were not fitted on.  DataFrame and SQL functions only.
+that the models were not fitted on.  The models count all other labelled URLs
+and are joined with the different grams of the URLs to score, both of any size.
+DataFrame and SQL functions only.
 
 Smoothing is by interpolation (Witten and Bell): with n(x) the number of
 characters seen after context x, and t(x) the number of different ones,
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import materialize, named
@@ -40,15 +42,11 @@ class Rule:
 
 @dataclass(frozen=True)
 class Settings:
-    #: Labelled URLs per class that the models are fitted and calibrated on, at most.
-    sample: int = 20_000
     #: Characters of context, at most.
     order: int = 4
-    #: Contexts seen less often in both classes together are not kept.
+    #: Contexts seen less often in both classes together are not kept, nor what follows them.
     least: int = 3
-    #: Entries of the model, at most: the most frequent are kept.
-    entries: int = 200_000
-    #: Every so many-th sampled URL is for calibration.
+    #: One of so many labelled URLs, by the hash, is for calibration.
     calibrate: int = 5
     #: Symbols that the uniform distribution is over.
     alphabet: int = 128
@@ -81,30 +79,29 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> Column:
 
 
 def _grams(urls: DataFrame, order: int) -> DataFrame:
-    """A row per character and order k: the k characters before it (``x``) and itself (``c``).
+    """A row per character: itself after the ``order`` characters before it (``g``).
 
     A URL is lower-cased and ends with a line feed; it begins after ``order`` of these.
     """
     padded = F.concat(F.lit("\n" * order), F.lower("url"), F.lit("\n"))
-    at = urls.withColumn("_s", padded).withColumn("_at", F.explode(F.sequence(F.lit(order + 1), F.length("_s"))))
+    at = urls.withColumn("_s", padded).withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_s") - order)))
+    return at.withColumn("g", F.substr(F.col("_s"), F.col("_at"), F.lit(order + 1))).drop("_s", "_at")
+
+
+def _shorter(grams: DataFrame, order: int) -> DataFrame:
+    """A row per gram and k: the character at its end (``c``) and the k before it (``x``)."""
     k = F.explode(F.sequence(F.lit(0), F.lit(order)))
-    return at.withColumn("k", k).withColumn("x", F.substr(F.col("_s"), F.col("_at") - F.col("k"), F.col("k"))).withColumn("c", F.substr(F.col("_s"), F.col("_at"), F.lit(1)))
+    return grams.withColumn("k", k).withColumn("x", F.substr(F.col("g"), order + 1 - F.col("k"), F.col("k"))).withColumn("c", F.substr(F.col("g"), F.lit(order + 1), F.lit(1)))
 
 
-def sampled(labelled: DataFrame, settings: Settings) -> DataFrame:
-    """At most ``settings.sample`` rows (url, accepted, h, nth) per class, those with the least hash.
+def parted(labelled: DataFrame, settings: Settings) -> DataFrame:
+    """All rows (url, accepted) and whether they are for calibration.
 
-    A first cut by the hash keeps what is ranked near that bound, whatever the input's size.
+    Equal URLs are on one side, and each class's least hash is on the models'.
     """
-    classes = {r.accepted: r["n"] for r in labelled.groupBy("accepted").agg(F.count("*").alias("n")).collect()}  # two rows
-    share = {k: min(1.0, 1.2 * settings.sample / n) for k, n in classes.items()}
-    place = F.col("h").bitwiseAND(0xFFFFFFFF) / float(1 << 32)
-    near = place < F.when(F.col("accepted"), share.get(True, 1.0)).otherwise(share.get(False, 1.0))
-    order = Window.partitionBy("accepted").orderBy(place, "url")
-    return (
-        labelled.select("url", "accepted").withColumn("h", F.xxhash64("url")).where(near)
-        .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= settings.sample)
-    )
+    rows = labelled.select("url", "accepted", F.xxhash64("url").alias("h"))
+    least = [r.h for r in rows.groupBy("accepted").agg(F.min("h").alias("h")).collect()]  # two rows
+    return rows.select("url", "accepted", ((F.pmod("h", F.lit(settings.calibrate)) == 0) & ~F.col("h").isin(least)).alias("apart"))
 
 
 def fit(spark: SparkSession, labelled: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, float] | None:
@@ -119,24 +116,23 @@ def fit(spark: SparkSession, labelled: DataFrame, settings: Settings = Settings(
       never seen after it.
 
     So a character's r is the sum, over its contexts, of the entry that fits.
-    At most ``settings.entries`` rows: they are broadcast.  None if a class has
-    no row.
+    None if a class has no row.
     """
-    sample = materialize(spark, sampled(labelled, settings), "url-sample")
-    if sample.select("accepted").distinct().count() < 2:
+    rows = materialize(spark, parted(labelled, settings), "url-labelled")
+    if rows.select("accepted").distinct().count() < 2:
         return None
-    part = F.col("nth") % settings.calibrate == 0
-    counts = (
-        _grams(sample.where(~part), settings.order).groupBy("k", "x", "c")
+    longest = (
+        _grams(rows.where("NOT apart").select("url", "accepted"), settings.order).groupBy("g")
         .agg(F.count_if("accepted").alias("na"), F.count_if(~F.col("accepted")).alias("nr"))
     )
+    counts = _shorter(longest, settings.order).groupBy("k", "x", "c").agg(F.sum("na").alias("na"), F.sum("nr").alias("nr"))
     counts = materialize(spark, counts, "url-counts")
     totals = counts.groupBy("k", "x").agg(F.sum("na").alias("ta"), F.sum("nr").alias("tr"), F.count_if(F.col("na") > 0).alias("da"), F.count_if(F.col("nr") > 0).alias("dr"))
     kept = totals.where((F.col("ta") + F.col("tr") >= settings.least) | (F.col("k") == 0))
-    rows = counts.join(kept, ["k", "x"])
-    done, entries = None, kept.select(F.concat("x", F.lit("\0")).alias("g"), F.log(_escape("ta", "da") / _escape("tr", "dr")).alias("gain"), (F.col("ta") + F.col("tr")).alias("n"), "k")
+    seen = counts.join(kept, ["k", "x"])
+    done, entries = None, kept.select(F.concat("x", F.lit("\0")).alias("g"), F.log(_escape("ta", "da") / _escape("tr", "dr")).alias("gain"))
     for k in range(settings.order + 1):  # from short contexts to long ones
-        own = rows.where(F.col("k") == k)
+        own = seen.where(F.col("k") == k)
         if done is None:
             own = own.withColumns({"la": F.lit(1.0 / settings.alphabet), "lr": F.lit(1.0 / settings.alphabet)})
         else:
@@ -145,10 +141,11 @@ def fit(spark: SparkSession, labelled: DataFrame, settings: Settings = Settings(
         own = own.withColumns({"pa": _mixed("na", "ta", "da", "la"), "pr": _mixed("nr", "tr", "dr", "lr")})
         done = materialize(spark, own.select("k", "x", "c", "na", "nr", "pa", "pr", "la", "lr"), f"url-order{k}")
         gain = F.log(F.col("pa") / F.col("pr")) - F.log(F.col("la") / F.col("lr"))
-        entries = entries.unionByName(done.select(F.concat("x", "c").alias("g"), gain.alias("gain"), (F.col("na") + F.col("nr")).alias("n"), "k"))
-    model = materialize(spark, entries.orderBy("k", F.desc("n"), "g").limit(settings.entries).select("g", "gain"), "url-model")
-    scores = scored(sample.where(part), model, settings, ["accepted", "h"]).withColumn("bin", F.floor(F.col("score") * settings.bins))
-    bins = scores.groupBy("bin").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r"))
+        entries = entries.unionByName(done.select(F.concat("x", "c").alias("g"), gain.alias("gain")))
+    model = materialize(spark, entries, "url-model")
+    apart = materialize(spark, rows.where("apart").groupBy("url").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r")), "url-apart")
+    scores = scored(apart, model, settings, ["url"]).join(apart, "url").withColumn("bin", F.floor(F.col("score") * settings.bins))
+    bins = scores.groupBy("bin").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
     return model, calibrated(sorted(tuple(b) for b in bins.collect()), settings.bins)  # as many rows as bins
 
 
@@ -181,14 +178,22 @@ def calibrated(bins: list[tuple[int, int, int]], per_unit: int) -> float:
 
 
 def scored(urls: DataFrame, model: DataFrame, settings: Settings, keys: list[str]) -> DataFrame:
-    """``keys`` (of a row, with its url) and ``score``: the log-likelihood difference per character."""
-    entries = F.broadcast(model)  # at most settings.entries rows
-    seen = entries.select(F.col("g").alias("g1"), F.col("gain").alias("seen"))
-    unseen = entries.select(F.col("g").alias("g2"), F.col("gain").alias("unseen"))
-    grams = _grams(urls.select(*keys, "url"), settings.order).select(*keys, F.col("_at"), F.concat("x", "c").alias("g1"), F.concat("x", F.lit("\0")).alias("g2"))
-    found = grams.join(seen, "g1", "left").join(unseen, "g2", "left")
-    total = F.sum(F.coalesce("seen", "unseen", F.lit(0.0)))
-    return found.groupBy(*keys).agg((total / (F.max("_at") - settings.order)).alias("score"))
+    """``keys`` (of a row, with its url) and ``score``: the log-likelihood difference per character.
+
+    The model is looked up once for each different gram of all the URLs.  Rows
+    have a number, so that a gram does not carry its URL along.
+    """
+    spark, order = urls.sparkSession, settings.order
+    rows = urls.select(*dict.fromkeys([*keys, "url"])).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(spark, rows, "urls-to-score")
+    grams = _grams(rows.select("_row", "url"), order).select("_row", "g")
+    pieces = _shorter(grams.select("g").distinct(), order).select("g", F.concat("x", "c").alias("g1"), F.concat("x", F.lit("\0")).alias("g2"))
+    pieces = materialize(spark, pieces.join(model.select(F.col("g").alias("g1"), "gain"), "g1", "left"), "url-grams")
+    unseen = pieces.where("gain IS NULL").select("g", "g2").join(model.select(F.col("g").alias("g2"), "gain"), "g2")
+    gains = pieces.where("gain IS NOT NULL").select("g", "gain").unionByName(unseen.select("g", "gain")).groupBy("g").agg(F.sum("gain").alias("gain"))
+    gains = materialize(spark, gains, "url-gains")
+    scores = grams.join(gains, "g", "left").groupBy("_row").agg((F.sum(F.coalesce("gain", F.lit(0.0))) / F.count("*")).alias("score"))
+    return rows.join(scores, "_row").select(*keys, "score")
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule], settings: Settings = Settings(), key: str = "page_id") -> DataFrame:

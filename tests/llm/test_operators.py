@@ -124,6 +124,19 @@ def test_url_model_is_interpolation(spark):
         assert abs(got[u] - sum(want) / len(want)) < 1e-9
 
 
+def test_url_model_has_all_urls_and_entries(spark):
+    """What was counted is in the model, whatever its size; settings that bound it, if there are any, are exceeded."""
+    bounds = {k: 50 for k in ("sample", "entries") if hasattr(url_filter.Settings, k)}
+    settings = url_filter.Settings(order=2, least=1, calibrate=10**9, **bounds)
+    rng = random.Random(3)
+    rows = [("".join(rng.choices("abcdefgh", k=20)), i % 2 == 0) for i in range(300)]
+    model, _ = url_filter.fit(spark, spark.createDataFrame(rows, "url string, accepted boolean"), settings)
+    full = ["\n\n" + u + "\n" for u, _ in rows]
+    seen = {t[i - k : i + 1] for t in full for i in range(2, len(t)) for k in range(3)}
+    got = [r.g for r in model.collect()]
+    assert Counter(got) == Counter([*seen, *{g[:-1] + "\0" for g in seen}])
+
+
 def test_exact_dedup(spark, hard):
     got = exact_dedup.deduplicate(spark, docs(spark, hard)).collect()
     assert len(got) == len(hard)
