@@ -1,22 +1,58 @@
 """Packing whole sections under a budget, skipping what doesn't fit.
 
-A running sum can't skip, so the ranked sections, a bounded pool, are one
-sorted array and one fold over it.
+A running sum can't skip, so the order is folded on the driver, in rounds.  What
+doesn't fit beside what is used doesn't fit later either, so a round takes only
+the next sections in order that still may fit, wherever they stand; the tables
+are not bounded.  What is kept is bounded by the budget.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-#: Sections that one fold takes; the pool of a request has a few thousand at most.
-MOST = 100_000
+from ..storage import stage
+
+#: Sections that come to the driver in a round.
+ROUND = 4096
 
 
-def _array(rows: DataFrame, *fields: str) -> DataFrame:
-    items = F.array_sort(F.collect_list(F.struct(*fields)))
-    checked = F.when(F.size(items) > MOST, F.raise_error(F.lit(f"more than {MOST} sections"))).otherwise(items)
-    return rows.agg(checked.alias("items"))
+def _rounds(rows: DataFrame, order: list[str], may_fit: Callable[[], Column], step: Callable[[Row], bool]) -> None:
+    """Call ``step`` on the rows that may fit, in order, until none is left.
+
+    A true result says that more may fit than before: a new round begins after that row.
+    """
+    at = None
+    while True:
+        left = rows.where(may_fit())
+        if at is not None:
+            left = left.where(F.struct(*order) > F.struct(*[F.lit(at[c]).cast(rows.schema[c].dataType).alias(c) for c in order]))
+        taken = left.orderBy(*order).limit(ROUND).collect()
+        for at in taken:
+            if step(at):
+                break
+        else:
+            if len(taken) < ROUND:
+                return
+
+
+def _placed(rows: DataFrame, kept: list[tuple], start: int, flag: str, total: str) -> DataFrame:
+    """All rows (pos, id), whether each is among ``kept`` (pos, id, nth, total), and the total after it."""
+    shared = rows.sparkSession.sparkContext.broadcast(([k[:3] for k in kept], [k[3] for k in kept]))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, totals = shared.value
+        for batch in batches:
+            own = [(pos, id_ or "", nth) for pos, id_, nth in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            at = [bisect_right(keys, k) - 1 for k in own]
+            flags = [i >= 0 and keys[i] == k for i, k in zip(at, own, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.bool_()), pa.array([totals[i] if i >= 0 else start for i in at], pa.int64())], ["pos", "id", flag, total])
+
+    return rows.select("pos", "id", "nth").mapInArrow(found, f"pos long, id string, {flag} boolean, {total} long")
 
 
 def pack(sections: DataFrame, header_bytes: int, budget: int, reserve: int = 0) -> DataFrame:
@@ -24,34 +60,46 @@ def pack(sections: DataFrame, header_bytes: int, budget: int, reserve: int = 0)
 
     A section fits if the text's bytes with it, over three and rounded up, are
     at most the budget less the reserve.  A seed that fits only without the
-    reserve ends the reserve for good.
+    reserve ends the reserve for good.  The order is by pos and id.
     """
-    state = F.struct(F.lit(header_bytes).cast("long").alias("used"), F.lit(reserve).cast("long").alias("reserve"), F.array().cast("array<struct<pos:bigint,id:string,kept:boolean,used:bigint>>").alias("out"))
+    rows = sections.select(F.col("pos").cast("long").alias("pos"), F.col("id").cast("string").alias("id"), F.col("bytes").cast("long").alias("bytes"), F.coalesce("seed", F.lit(False)).alias("seed"))
+    rows = stage(rows.withColumn("nth", F.monotonically_increasing_id()), "sections-to-pack")
+    used, kept = header_bytes, []
 
-    def step(s: Column, x: Column) -> Column:
-        cost = F.ceil((s["used"] + x["bytes"]) / 3).cast("long")
-        freed = x["seed"] & (cost > budget - s["reserve"]) & (cost <= budget)
-        reserve_ = F.when(freed, F.lit(0).cast("long")).otherwise(s["reserve"])
-        kept = cost <= budget - reserve_
-        used = F.when(kept, s["used"] + x["bytes"]).otherwise(s["used"])
-        row = F.struct(x["pos"].alias("pos"), x["id"].alias("id"), kept.alias("kept"), used.alias("used"))
-        return F.struct(used.alias("used"), reserve_.alias("reserve"), F.concat(s["out"], F.array(row)).alias("out"))
+    def may_fit() -> Column:
+        cost = F.ceil((F.col("bytes") + used) / 3)
+        return (cost <= budget - reserve) | F.col("seed") & (cost <= budget)
 
-    rows = sections.select(F.col("pos").cast("long").alias("pos"), F.col("id").cast("string").alias("id"), F.col("bytes").cast("long").alias("bytes"), F.coalesce("seed", F.lit(False)).alias("seed"))
-    return _array(rows, "pos", "id", "bytes", "seed").select(F.aggregate("items", state, step)["out"].alias("out")).select(F.inline("out"))
+    def step(r: Row) -> bool:
+        nonlocal used, reserve
+        cost = -(-(used + r.bytes) // 3)
+        freed = r.seed and budget - reserve < cost <= budget
+        if freed:
+            reserve = 0
+        if cost <= budget - reserve:
+            used += r.bytes
+            kept.append((r.pos, r.id or "", r.nth, used))
+        return freed
+
+    _rounds(rows, ["pos", "id", "nth"], may_fit, step)
+    return _placed(rows, kept, header_bytes, "kept", "used")
 
 
 def reserved(notes: DataFrame, limit: int) -> DataFrame:
     """Per note (pos, id, cost): whether it is in the reserve of ``limit``, and the reserve so far."""
-    state = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<pos:bigint,id:string,reserved:boolean,sum:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = s["sum"] + x["cost"] <= limit
-        total = F.when(fits, s["sum"] + x["cost"]).otherwise(s["sum"])
-        return F.struct(total.alias("sum"), F.concat(s["out"], F.array(F.struct(x["pos"].alias("pos"), x["id"].alias("id"), fits.alias("reserved"), total.alias("sum")))).alias("out"))
-
     rows = notes.select(F.col("pos").cast("long").alias("pos"), F.col("id").cast("string").alias("id"), F.col("cost").cast("long").alias("cost"))
-    return _array(rows, "pos", "id", "cost").select(F.aggregate("items", state, step)["out"].alias("out")).select(F.inline("out"))
+    rows = stage(rows.withColumn("nth", F.monotonically_increasing_id()), "notes-to-reserve")
+    total, kept = 0, []
+
+    def step(r: Row) -> bool:
+        nonlocal total
+        if total + r.cost <= limit:
+            total += r.cost
+            kept.append((r.pos, r.id or "", r.nth, total))
+        return False
+
+    _rounds(rows, ["pos", "id", "nth"], lambda: F.col("cost") + total <= limit, step)
+    return _placed(rows, kept, 0, "reserved", "sum")
 
 
 def distinct_in_order(rows: DataFrame, value: str, order: str) -> DataFrame:

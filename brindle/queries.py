@@ -344,6 +344,15 @@ def greedy_pack(spark, sf_dir):
     return packing.pack(sections(spark, sf_dir), HEADER, BUDGET)
 
 
+@query(f"""WITH RECURSIVE sections AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY doc_id) AS pos, CAST(doc_id AS VARCHAR) AS id, strlen(text) AS bytes, false AS seed FROM documents WHERE text IS NOT NULL
+), {_PACKED.format(header=HEADER, reserve=0, budget=BUDGET)} SELECT CAST(id AS BIGINT) AS pos, id, kept, used FROM packed WHERE pos > 0""")
+def greedy_pack_all(spark, sf_dir):
+    """All documents in the order of their ids, not only the best of a search."""
+    docs = t(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return packing.pack(docs.select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), F.octet_length("text").alias("bytes"), F.lit(False).alias("seed")), HEADER, BUDGET)
+
+
 _NOTES = f"""{_LESSONS}, {_SECTIONS}, notes AS (
   SELECT row_number() OVER (ORDER BY e.id) AS pos, CAST(e.id AS VARCHAR) AS id, CAST(ceil(strlen(lesson) / 3.0) AS BIGINT) AS cost, strlen(lesson) AS bytes
   FROM eligible e JOIN sections s ON s.id = e.evidence

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import pytest
@@ -104,5 +105,32 @@ def test_packing_skips_and_frees_the_reserve(spark):
     assert packing.pack(rows.limit(0), 0, 20).count() == 0
 
 
+def test_packing_goes_on_to_the_end(spark):
+    """More sections than were ever taken at once; against a plain fold."""
+    rng = random.Random(8)
+    sizes = [rng.choice([1, 5, 40, 300, 5000]) + 7 * (i < 6000) for i in range(6000)] + [9000] * 100_000 + [2, 1, 1]
+    for reserve in (0, 1500):
+        used, left, want = 10, reserve, {}
+        for i, n in enumerate(sizes):
+            cost = -(-(used + n) // 3)
+            if i % 900 == 899 and 4000 - left < cost <= 4000:
+                left = 0
+            if cost <= 4000 - left:
+                used += n
+                want[i] = used
+        rows = spark.createDataFrame(list(enumerate(sizes)), "pos long, bytes long").select("pos", F.col("pos").cast("string").alias("id"), "bytes", (F.col("pos") % 900 == 899).alias("seed"))
+        got = packing.pack(rows, 10, 4000, reserve)
+        assert {r.pos: r.used for r in got.where("kept").collect()} == want
+        assert got.count() == len(sizes) and got.where("pos = 106000").first().used == max(v for i, v in want.items() if i <= 106_000)
+    notes = packing.reserved(rows.select("pos", "id", F.col("bytes").alias("cost")), 6000)
+    total, want = 0, []
+    for i, n in enumerate(sizes):
+        if total + n <= 6000:
+            total += n
+            want.append(i)
+    assert sorted(r.pos for r in notes.where("reserved").collect()) == want
+
+
+
 def test_token_estimate(spark):
     assert spark.range(1).select(token_estimate(F.lit("héllo")).alias("n")).first().n == 2
