@@ -28,8 +28,6 @@ UNDETERMINED = "und"
 class Settings:
     #: Labelled texts per language that the model is fitted on, at most.
     sample: int = 400
-    #: Languages that the model has at most; the most frequent are taken.
-    languages: int = 200
     centroids: int = 4
     iterations: int = 12
     #: Hashed n-grams; a power of two.
@@ -103,18 +101,18 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def fit(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on at most ``settings.sample`` labelled texts per language.
+    """Fit on at most ``settings.sample`` labelled texts of each language that is a label.
 
     The texts with the least hash of their key are taken; held-out rows, null
     keys, null labels and texts without a letter are not.  What comes to the
-    driver is bounded by sample, languages and dimensions, not by text length.
+    driver grows with the number of languages, not of texts or their length.
     """
     workers_import_this(spark)
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("id"), F.col(lang).alias("label"))
-    frequent = labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(settings.languages)
+    sizes = labelled.groupBy("label").agg(F.count("*").alias("n"))  # a row per language
     place = F.xxhash64("id").bitwiseAND(0xFFFFFFFF) / float(1 << 32)
     # a first cut by the hash, at twice the bound, so that no task ranks more than it must
-    near = labelled.join(F.broadcast(frequent), "label").withColumn("place", place).where(F.col("place") * F.col("n") < 2.0 * settings.sample)
+    near = labelled.join(F.broadcast(sizes), "label").withColumn("place", place).where(F.col("place") * F.col("n") < 2.0 * settings.sample)
     order = Window.partitionBy("label").orderBy("place", "id")
     chosen = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= settings.sample).select("id").distinct()
     # at most sample x languages ids
@@ -135,10 +133,13 @@ def fitted(rows: list[tuple[str, str, bytes, bytes]], settings: Settings) -> Mod
     for _, index, _ in sparse:
         df[index] += 1
     idf = np.log((1 + len(sparse)) / (1 + df)) + 1
-    languages = sorted({r[0] for r in sparse})
+    per_language: dict[str, list] = {}
+    for label, index, n in sparse:
+        per_language.setdefault(label, []).append((index, n))
+    languages = sorted(per_language)
     centroids, owner, lowest = [], [], []
     for k, language in enumerate(languages):
-        own = [(i, n) for label, i, n in sparse if label == language]
+        own = per_language[language]
         x = np.zeros((len(own), settings.dimensions), np.float32)
         for row, (index, n) in enumerate(own):
             x[row, index] = weighted(index, n, idf)

@@ -372,6 +372,17 @@ def test_language(spark, hard):
     assert {r.lang_pred for r in language_id.identify(spark, docs(spark, [(1, "abc", None, None)])).collect()} == {"und"}
 
 
+def test_language_learns_every_label(spark):
+    """Also more of them than a model ever had."""
+    rng = random.Random(9)
+    words = lambda: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30))
+    rows = [(i, words(), f"l{i:03}", "s") for i in range(400)]
+    learned = {lang: t for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    model = language_id.fit(spark, docs(spark, rows))
+    assert len(learned) > 200 and set(model.languages) == set(learned)
+    assert all(model.judge(t)[::2] == (lang, False) for lang, t in learned.items())
+
+
 def test_language_accuracy(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.identify(spark, table).join(table.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
