@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import SPACES, located, materialize, named, scratch, settings_of, text_or_empty
+from .runtime import SPACES, located, materialize, of_row, scratch, settings_of, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -30,7 +30,7 @@ class Settings:
     broadcast_digests: int = 1_000_000
 
 
-def normalised(text: str = "text") -> Column:
+def normalised(text: str | Column = "text") -> Column:
     """The text without white space (U+0009 to U+000D and the space); a null text counts as empty."""
     out = text_or_empty(text)
     for space in SPACES:
@@ -38,14 +38,18 @@ def normalised(text: str = "text") -> Column:
     return out
 
 
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
 def arrivals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """What the stream carries of each row of ``located`` documents.
+    """What the stream carries of each row (key, text, _file, _row).
 
     ``rank`` orders the rows of a group: most code points first, then the
     smallest key, null keys last, then the place.
     """
     rank = F.struct((-F.length(text_or_empty(text))).alias("less"), F.col(key).isNull().alias("nameless"), F.col(key).alias("key"), F.col("_file").alias("file"), F.col("_row").alias("row"))
-    return docs.select(F.unhex(F.sha2(normalised(text), 256)).alias("digest"), rank.alias("rank"))
+    return docs.select(digest_of(F.col(text)).alias("digest"), rank.alias("rank"))
 
 
 def keyed_state(stream: DataFrame) -> DataFrame:
@@ -67,6 +71,8 @@ def run_stream(spark: SparkSession, arrived: str, schema, checkpoint: str, setti
         "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        # a store is closed when its task ends, so an executor holds as many as it has cores, not one per partition
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
         "spark.sql.streaming.metricsEnabled": "false",
     }
     with settings_of(spark, **{k.replace(".", "__"): v for k, v in ours.items()}):
@@ -86,18 +92,20 @@ def groups(spark: SparkSession, at: DataFrame, settings: Settings = Settings(),
     with an error (no such pair is known for SHA-256).
     """
     came = scratch(spark, "arrivals")
-    arrived = arrivals(at, key, text)
+    at = at.select(of_row(key).alias("key"), of_row(text).alias("text"), "_file", "_row")
+    arrived = arrivals(at, "key", "text")
     arrived.write.option("compression", "zstd").parquet(came)
     table = spark.read.schema(arrived.schema).parquet(came)
     state = materialize(spark, run_stream(spark, came, arrived.schema, scratch(spark, "dedup-state"), settings), "dedup-groups")
     met = state.where(F.col("size") > 1).select("digest")
     if met.count() <= settings.broadcast_digests:
         met = F.broadcast(met)
-    texts = at.select(F.unhex(F.sha2(normalised(text), 256)).alias("digest"), normalised(text).alias("text")).join(met, "digest", "left_semi")
+    texts = at.select(digest_of(F.col("text")).alias("digest"), normalised("text").alias("text")).join(met, "digest", "left_semi")
     # equal texts meet in their task first, so a large group is one row per task
     distinct = texts.groupBy("digest", "text").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("texts"))
     checked = distinct.select("digest", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts have one digest"))).otherwise(F.lit(True)).cast("boolean").alias("bytes_equal"))
-    known = state.join(checked, "digest", "left").where(F.coalesce("bytes_equal", F.lit(True)))
+    known = materialize(spark, state.join(checked, "digest", "left").where(F.coalesce("bytes_equal", F.lit(True))).drop("bytes_equal"), "dedup-known")
+    # a join of two plain tables: where one digest has very many rows, Spark deals that partition to several tasks
     return table.join(known, "digest")
 
 
@@ -117,7 +125,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame, settings: Settings = Setti
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns under their own names.
+
+    Which rows stay, and what nulls, empty texts, repeated rows and an empty
+    table give, is as ``deduplicate`` says.
+    """
     at = located(spark, docs)
     kept = groups(spark, at, settings, key, text).where(F.col("rank") == F.col("first")).select(F.col("rank.file").alias("_file"), F.col("rank.row").alias("_row"))
-    return at.join(kept, ["_file", "_row"], "left_semi").select(*named(docs.columns))
+    return at.join(kept, ["_file", "_row"], "left_semi").select("r.*")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,15 +20,23 @@ from pyspark.sql import types as T
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def in_one_process(spark: SparkSession) -> bool:
+    return re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is what the cluster names in ``spark.checkpoint.dir``.  Where that is
-    unset (tests, a laptop) one temporary folder is made and kept in the
-    session's settings, so that every operator of a session uses the same one.
+    unset and the session runs in this one process (tests, a laptop) one
+    temporary folder is made and kept in the session's settings, so that every
+    operator of a session uses the same one.  A cluster without the setting is
+    an error: its executors would not see a folder of the driver's machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.brindle.shared.dir", None)
     if not named:
+        if not in_one_process(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = Path(tempfile.mkdtemp(prefix="brindle-")).as_uri()
         spark.conf.set("spark.brindle.shared.dir", named)
     return named.rstrip("/")
@@ -49,12 +59,21 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, codec: str = "zst
 
 
 def workers_import_this(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver found it."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in known:
-        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+    """Let Python workers import this package, wherever the driver found it.
+
+    Masters on this machine see the driver's own files; a cluster's executors
+    get the package as an archive, once a session.
+    """
+    root = Path(__file__).resolve().parents[2]
+    if spark.conf.get("spark.master", "").startswith("local"):
+        env = spark.sparkContext.environment
+        known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if str(root) not in known:
+            env["PYTHONPATH"] = os.pathsep.join([str(root), *known])
+    elif not spark.conf.get("spark.brindle.shipped", None):
+        folder = tempfile.mkdtemp(prefix="brindle-")  # the driver serves the archive to the executors
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{__package__.split('.')[0]}", "zip", root, __package__.split(".")[0]))
+        spark.conf.set("spark.brindle.shipped", "true")
 
 
 @contextlib.contextmanager
@@ -72,20 +91,31 @@ def settings_of(spark: SparkSession, **values: str) -> Iterator[None]:
 
 
 def located(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Add ``_file`` and ``_row``: where a row lies in its Parquet files.
+    """Each row of ``df`` as the struct ``r``, with ``_file`` and ``_row``: where it lies in its Parquet files.
 
-    A frame that isn't a plain file scan has no such place, so it is written
-    to the shared folder first.
+    Inside the struct, columns may have any name.  A frame that isn't a plain
+    file scan has no such place, so it is written to the shared folder first.
     """
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+
+    def placed(frame: DataFrame) -> DataFrame:
+        place = frame.metadataColumn("_metadata")
+        return frame.select(F.struct(*named(frame.columns)).alias("r"), place["file_path"].alias("_file"), place["row_index"].alias("_row"))
+
     try:
-        return df.select("*", *place)
+        found = placed(df)
+        found.schema  # noqa: B018  resolves the place, or fails
+        return found
     except AnalysisException:
-        return materialize(spark, df, "located").select("*", *place)
+        return placed(materialize(spark, df, "located"))
+
+
+def of_row(name: str) -> Column:
+    """A column of a ``located`` row, by its exact name."""
+    return F.col("r").getField(name)
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def text_or_empty(column: str | Column = "text") -> Column:
+    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
