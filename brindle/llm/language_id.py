@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .runtime import named, workers_import_this
 
@@ -103,20 +102,21 @@ def held_out(key: str = "doc_id") -> Column:
 def fit(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on at most ``settings.sample`` labelled texts of each language that is a label.
 
-    The texts with the least hash of their key are taken; held-out rows, null
-    keys, null labels and texts without a letter are not.  What comes to the
-    driver grows with the number of languages, not of texts or their length.
+    The texts with the least hash of key and text are taken, equal ones once;
+    held-out rows, null keys, null labels and texts without a letter are not.
+    What comes to the driver grows with the number of languages, not of texts,
+    their length or how often a key repeats.
     """
     workers_import_this(spark)
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("id"), F.col(lang).alias("label"))
-    sizes = labelled.groupBy("label").agg(F.count("*").alias("n"))  # a row per language
-    place = F.xxhash64("id").bitwiseAND(0xFFFFFFFF) / float(1 << 32)
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("id"), F.col(lang).alias("label"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
+    sizes = labelled.groupBy("label").agg(F.approx_count_distinct("h").alias("n"))  # a row per language
+    place = F.col("h").bitwiseAND(0xFFFFFFFF) / float(1 << 32)
     # a first cut by the hash, at twice the bound, so that no task ranks more than it must
     near = labelled.join(F.broadcast(sizes), "label").withColumn("place", place).where(F.col("place") * F.col("n") < 2.0 * settings.sample)
-    order = Window.partitionBy("label").orderBy("place", "id")
-    chosen = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= settings.sample).select("id").distinct()
-    # at most sample x languages ids
-    texts = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("id"), F.col(lang).alias("label"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    order = Window.partitionBy("label").orderBy("place", "id", "h")
+    chosen = near.select("id", "label", "h", "place").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= settings.sample).select("id", "label", "h")
+    # at most sample x languages rows are asked for, and equal rows come once
+    texts = labelled.join(F.broadcast(chosen), ["id", "label", "h"]).dropDuplicates(["id", "label", "h"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,39 +171,41 @@ def spherical_kmeans(x: np.ndarray, k: int, iterations: int) -> np.ndarray:
     return centers
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", columns: tuple[str, ...] = ("doc_id",), out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
-    """Given columns, with language, similarity and rejection under the names ``out``.
+def judgement(spark: SparkSession, model: Model, text: str = "text") -> Column:
+    """Struct<lang, score, rejected> of a text column.
 
-    A text that is null or has no letter gets ``und``, 0 and true.  Rows are
-    independent; an empty table gives an empty one.  Without any labelled text
-    the model knows no language and every text gets ``und``, unrejected if it
-    has letters.
+    Only the text goes to Python; what else a row has stays in the JVM.  A text
+    that is null or has no letter gets ``und``, 0 and true.  Without any
+    labelled text the model knows no language and every text gets ``und``,
+    unrejected if it has letters.
     """
-    spark = docs.sparkSession
     workers_import_this(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by languages, centroids and dimensions
+    shared = spark.sparkContext.broadcast(model)  # grows with the languages; centroids and dimensions are fixed
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [shared.value.judge(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([bool(r[2]) for r in rows], pa.bool_())], [*batch.schema.names[1:], "_a", "_b", "_c"])
+    def judged(texts: pa.Array) -> pa.Array:
+        rows = [shared.value.judge(t.as_py()) for t in texts]
+        parts = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([bool(r[2]) for r in rows], pa.bool_())]
+        return pa.StructArray.from_arrays(parts, ["lang", "score", "rejected"])
 
-    # plain names on the way through Python: columns may have dots in theirs
-    slim = docs.select(*[c.alias(f"_{i}") for i, c in enumerate(named([text, *columns]))])
-    schema = T.StructType(slim.schema.fields[1:])
-    for name, kind in zip(("_a", "_b", "_c"), ("string", "double", "boolean"), strict=True):
-        schema = schema.add(name, kind)
-    return slim.mapInArrow(judged, schema).toDF(*columns, *out)
+    return F.arrow_udf(judged, "struct<lang:string,score:double,rejected:boolean>")(*named([text]))
 
 
 def identify(spark: SparkSession, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Fit on ``docs`` and judge each of its rows; see ``fit`` and ``predict``."""
+    """Fit on ``docs`` and judge each of its rows: doc_id, held_out, lang_pred, score, rejected.
+
+    Rows are independent: repeated rows repeat, an empty table gives an empty
+    one, a null doc_id is never held out.  See ``fit`` and ``judgement``.
+    """
     model = fit(spark, docs, settings)
-    return predict(docs.withColumn("held_out", held_out()), model, columns=("doc_id", "held_out"))
+    judged = docs.select("doc_id", held_out().alias("held_out"), judgement(spark, model).alias("j"))
+    return judged.select("doc_id", "held_out", F.col("j.lang").alias("lang_pred"), "j.score", "j.rejected")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows, with all their columns, whose text is not rejected."""
+    """The rows, with all their columns, whose text is not rejected.
+
+    Texts that are null or have no letter go; repeated rows are judged each for
+    itself; an empty table, or one without labels, loses no text with letters.
+    """
     model = fit(spark, docs, settings)
-    out = ("_lid_lang", "_lid_score", "_lid_rejected")
-    return predict(docs, model, columns=tuple(docs.columns), out=out).where(~F.col(out[2])).select(*named(docs.columns))
+    return docs.where(~judgement(spark, model).getField("rejected"))
