@@ -8,18 +8,25 @@
 3. In each bucket one node is the centre of a star: candidates are its pairs
    with the bucket's other nodes, as many as there are nodes.  The centre is
    the node that meets most others, which links most of its group at once.
-4. Candidates are confirmed on the full sets of the two texts, and components
-   of the links are found by alternating stars.
+4. Candidates are confirmed on the full sets of the two texts: of every text
+   that is in a pair the hashed set is made once, and pairs intersect these in
+   the JVM.  Components of the links are found by alternating stars; later
+   links only join the components of earlier ones.
 5. Nodes that were no centre, in buckets where these are still in different
    components, get an exact second filter, so that no link within a bucket is
    lost: two sets that are similar enough share one of the rarest shingles of
    each (its prefix).  Shingles that no other such node has fall away, and with
    them nearly all pairs that aren't similar enough.  Each prefix shingle is
    then a bucket for rounds of stars, without the nodes that were centres and
-   with twice as many centres each time, until every pair of a bucket was
-   compared or is connected.  Pairs of nodes that were compared with the same
-   centre in the first round are compared only if what each gained and lost
-   against that centre leaves room for a link (see ``_may_link``).
+   with more centres each time (64, then eight times as many), until every pair
+   of a bucket was compared or is connected.  A pair is compared only if its
+   sizes, the places of the shingle in both orders and, for nodes that were
+   compared with the same centre in the first round, what each gained and lost
+   against that centre leave room for a link (see ``_may_link``).
+
+Equal sets, a bucket or a centre may have a third of all rows: counts and
+centres are combined per task before they are shuffled, and joins on such a key
+are left to Spark to split (``forceOptimizeSkewedJoin``).
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import located, materialize, named, settings_of, workers_import_this
+from .runtime import located, materialize, of_row, settings_of, workers_import_this
 
 
 @dataclass(frozen=True)
@@ -102,10 +109,6 @@ class Hasher:
         bands = values.reshape(self.settings.bands, self.settings.rows) * self.band_factors
         return _mixed(bands.sum(axis=1) ^ self.band_terms).view(np.int64)
 
-    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= self.settings.percent * (len(a) + len(b) - both)
-
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
@@ -130,7 +133,7 @@ def hasher(settings: Settings) -> Hasher:
 
 def features(at: DataFrame, settings: Settings, key: str, text: str) -> DataFrame:
     """Per row of ``located`` documents: key, place, set size, set digest, buckets."""
-    slim = at.select(F.col(text).alias("text"), F.col(key).alias("key"), "_file", "_row")
+    slim = at.select(of_row(text).alias("text"), of_row(key).alias("key"), "_file", "_row")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = hasher(settings)
@@ -150,28 +153,29 @@ def features(at: DataFrame, settings: Settings, key: str, text: str) -> DataFram
     return slim.mapInArrow(hashed, f"key {kind}, _file string, _row long, size long, digest binary, buckets array<long>")
 
 
-def texts_of(nodes: DataFrame, wanted: DataFrame, at: DataFrame, text: str) -> DataFrame:
-    """(node, text) of the wanted nodes (node), from the rows that stand for them."""
+def sets_of(nodes: DataFrame, wanted: DataFrame, at: DataFrame, settings: Settings, text: str) -> DataFrame:
+    """(node, set) of the wanted nodes (node), from the rows that stand for them."""
     places = nodes.join(wanted, "node", "left_semi").select("node", F.col("first.file").alias("_file"), F.col("first.row").alias("_row"))
-    return at.select("_file", "_row", F.col(text).alias("text")).join(places, ["_file", "_row"]).select("node", "text")
+    texts = at.select("_file", "_row", of_row(text).alias("text")).join(places, ["_file", "_row"]).select("node", "text")
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = hasher(settings)
+        for batch in batches:
+            sets = [own.shingles(t.as_buffer().to_pybytes()).view(np.int64) for t in batch.column(1)]
+            offsets = np.cumsum([0, *map(len, sets)])
+            lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists.cast(pa.list_(pa.int64()))], ["node", "set"])
 
-def confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) of nodes, with ``linked``: compared on the full sets of their texts (node, text)."""
-    first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return texts.mapInArrow(cut, "node long, set array<long>")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, node, held = hasher(settings), None, None
-        for batch in batches:
-            found = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != node:  # the rows of a centre mostly follow each other
-                    node, held = a, own.shingles(ta.as_buffer().to_pybytes())
-                found.append(own.linked(held, own.shingles(tb.as_buffer().to_pybytes())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], ["a", "b", "linked"])
 
-    return pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b").mapInArrow(compared, "a long, b long, linked boolean")
+def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) of nodes, with ``linked``: their full sets (node, set) are intersected."""
+    first = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
+    second = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    linked = 100 * both >= settings.percent * (F.size("set_a") + F.size("set_b") - both)
+    return pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", linked.alias("linked"))
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -200,16 +204,27 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
 
 
+def joined(spark: SparkSession, part: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, component) after more links (a, b): only components that these join are looked at."""
+    if part is None:
+        return components(spark, links)
+    of = {c: part.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")}
+    ends = links.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = materialize(spark, components(spark, ends), "near-merged")
+    known = part.join(merged.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    fresh = merged.join(part, "node", "left_anti")
+    return materialize(spark, known.union(fresh), "near-components")
+
+
 class _Links:
-    """The links found so far, and their components."""
+    """The components of the links found so far, and the pairs that were compared."""
 
     def __init__(self, spark: SparkSession, nodes: DataFrame, at: DataFrame, settings: Settings, text: str):
         self.spark, self.nodes, self.at, self.settings, self.text = spark, nodes, at, settings, text
-        self.links: DataFrame | None = None
         self.part: DataFrame | None = None
         self.compared: DataFrame | None = None
         self.first: DataFrame | None = None
-        self.texts: DataFrame | None = None  # of the nodes of the rounds after the first
+        self.sets: DataFrame | None = None  # of the nodes of the rounds after the first
 
     def split(self, open_: DataFrame) -> DataFrame | None:
         """The rows, with component, of the buckets that hold several components; None if there are none."""
@@ -233,7 +248,7 @@ class _Links:
         sizes = live.groupBy("bucket", "component").agg(F.count("*").alias("members"))
         best = Window.partitionBy("bucket").orderBy("members", F.desc("weight"), "node")
         picked = live.join(sizes, ["bucket", "component"]).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= centres)
-        picked = materialize(self.spark, picked.select("bucket", F.col("node").alias("centre"), F.col("component").alias("of"), F.col("size").alias("centre_size"), F.col("mark").alias("centre_mark")), "near-centres")
+        picked = materialize(self.spark, picked.select("bucket", F.col("node").alias("centre"), F.col("component").alias("of"), F.col("size").alias("centre_size"), F.col("place").alias("centre_place"), F.col("mark").alias("centre_mark")), "near-centres")
         close = 100 * F.least("size", "centre_size") >= self.settings.percent * F.greatest("size", "centre_size")
         pairs = live.join(picked, "bucket").where((F.col("component") != F.col("of")) & close & _may_link(self.settings)).select(F.col("centre").alias("a"), F.col("node").alias("b"), F.least("centre", "node").alias("low"), F.greatest("centre", "node").alias("high"))
         pairs = pairs.groupBy("low", "high").agg(F.min("a").alias("a"))  # one of the two directions
@@ -241,19 +256,18 @@ class _Links:
         if self.compared is not None:
             pairs = pairs.join(self.compared, ["low", "high"], "left_anti")
         pairs = materialize(self.spark, pairs, "near-pairs")
-        texts = self.texts
-        if texts is None:
+        sets = self.sets
+        if sets is None:
             asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-            texts = materialize(self.spark, texts_of(self.nodes, asked, self.at, self.text), "near-texts")
-        judged = materialize(self.spark, confirmed(pairs, texts, self.settings), "near-judged")
+            sets = materialize(self.spark, sets_of(self.nodes, asked, self.at, self.settings, self.text), "near-sets")
+        judged = materialize(self.spark, confirmed(pairs, sets, self.settings), "near-judged")
         found = judged.where("linked").select("a", "b")
         if not found.isEmpty():
-            self.links = found if self.links is None else self.links.union(found)
-            self.part = components(self.spark, self.links)
+            self.part = joined(self.spark, self.part, found)
         self.first = judged if self.first is None else self.first
         done = pairs.select("low", "high")
         self.compared = done if self.compared is None else self.compared.union(done)
-        return live.select("bucket", "node", "size", "weight", "mark").join(picked.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
+        return live.select("bucket", "node", "size", "weight", "place", "mark").join(picked.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
 
 
 #: Longs of a bitmap.
@@ -277,6 +291,12 @@ def _may_link(settings: Settings) -> Column:
     bit of A's bitmap that B's lacks is an element of A that B hasn't, so what
     they have in common is at most A's elements less these bits.  A link needs
     a symmetric difference of at most (100 - p) / (100 + p) of both sizes.
+
+    ``place`` is where a bucket's shingle stands in a node's set, rarest first.
+    At the first shingle that two nodes share, what they have in common is at
+    most that one and all that follows it in the shorter rest; a link needs
+    p / (100 + p) of both sizes.  A pair that a later shingle rules out so was
+    met at its first.
     """
     a, b = F.col("mark"), F.col("centre_mark")
 
@@ -288,7 +308,9 @@ def _may_link(settings: Settings) -> Column:
 
     apart = a["gained"] + b["gained"] - 2 * common("gained", "g") + a["lost"] + b["lost"] - 2 * common("lost", "l")
     room = (100 - settings.percent) * (F.col("size") + F.col("centre_size"))
-    return F.coalesce((a["pivot"] != b["pivot"]) | ((100 + settings.percent) * apart <= room), F.lit(True))
+    in_common = 1 + F.least(F.col("size") - F.col("place"), F.col("centre_size") - F.col("centre_place"))
+    placed = F.coalesce((100 + settings.percent) * in_common >= settings.percent * (F.col("size") + F.col("centre_size")), F.lit(True))
+    return placed & F.coalesce((a["pivot"] != b["pivot"]) | ((100 + settings.percent) * apart <= room), F.lit(True))
 
 
 def pivots(spark: SparkSession, live: DataFrame, first: DataFrame) -> DataFrame:
@@ -299,22 +321,14 @@ def pivots(spark: SparkSession, live: DataFrame, first: DataFrame) -> DataFrame:
     return materialize(spark, chosen, "near-pivots")
 
 
-def prefixes(spark: SparkSession, live: DataFrame, texts: DataFrame, chosen: DataFrame, settings: Settings) -> DataFrame:
-    """(bucket, node, size, weight, mark): the prefix shingles of the nodes that another of them has too.
+def prefixes(spark: SparkSession, live: DataFrame, sets: DataFrame, chosen: DataFrame, settings: Settings) -> DataFrame:
+    """(bucket, node, size, weight, place, mark): the prefix shingles of the nodes that another of them has too.
 
     With shingles in order of how many of these nodes have them, a set of n
-    has a prefix of n - ceil(n * percent / 100) + 1.  ``texts`` has those of
+    has a prefix of n - ceil(n * percent / 100) + 1.  ``sets`` has those of
     the nodes and of the pivots (see ``pivots``).
     """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = hasher(settings)
-        for batch in batches:
-            for node, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = own.shingles(t.as_buffer().to_pybytes()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(np.full(len(s), len(s))), pa.array(s)], ["node", "size", "bucket"])
-
-    every = materialize(spark, texts.mapInArrow(cut, "node long, size long, bucket long"), "near-shingles")
+    every = sets.select("node", F.size("set").cast("long").alias("size"), F.explode("set").alias("bucket"))
     shingles = every.join(live, "node", "left_semi")
     common = shingles.groupBy("bucket").agg(F.count("*").alias("weight")).where("weight > 1")
     ranked = shingles.join(common, "bucket", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
@@ -331,14 +345,15 @@ def prefixes(spark: SparkSession, live: DataFrame, texts: DataFrame, chosen: Dat
     marks = chosen.join(gained, "node", "left").join(lost, "node", "left")
     mark = F.struct("pivot", F.coalesce("gained", zero).alias("gained"), F.coalesce("lost", zero).alias("lost"), F.coalesce("g", none).alias("g"), F.coalesce("l", none).alias("l"))
     marks = marks.select("node", mark.cast(MARK).alias("mark"))
-    return materialize(spark, prefix.select("bucket", "node", "size", "weight").join(marks, "node", "left"), "near-prefixes")
+    return materialize(spark, prefix.select("bucket", "node", "size", "weight", F.col("nth").cast("long").alias("place")).join(marks, "node", "left"), "near-prefixes")
 
 
 def link_components(spark: SparkSession, at: DataFrame, settings: Settings, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Features of all rows, and (digest, component key, place of the row that stays) of all sets."""
     workers_import_this(spark)
-    # whole texts, and pairs of them, go to Python: a thousand at a time bound what a task holds
-    with settings_of(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+    # whole texts go to Python: bytes, not rows, bound what a task holds
+    ours = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1000", "spark__sql__execution__arrow__maxBytesPerBatch": str(4 << 20), "spark__sql__adaptive__forceOptimizeSkewedJoin": "true"}
+    with settings_of(spark, **ours):
         return _link_components(spark, at, settings, key, text)
 
 
@@ -354,7 +369,7 @@ def _link_components(spark: SparkSession, at: DataFrame, settings: Settings, key
     met = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(spark, spread.join(met, "bucket"), "near-shared")
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    open_ = shared.join(weight, "node").select("bucket", "node", "size", "weight", F.lit(None).cast(MARK).alias("mark"))
+    open_ = shared.join(weight, "node").select("bucket", "node", "size", "weight", F.lit(None).cast("long").alias("place"), F.lit(None).cast(MARK).alias("mark"))
 
     state = _Links(spark, nodes, at, settings, text)
     rest = state.round(open_, 1)
@@ -362,8 +377,8 @@ def _link_components(spark: SparkSession, at: DataFrame, settings: Settings, key
         live = materialize(spark, split.select("node").distinct(), "near-rest")
         chosen = pivots(spark, live, state.first)
         asked = live.union(chosen.select(F.col("pivot").alias("node"))).distinct()
-        state.texts = materialize(spark, texts_of(nodes, asked, at, text), "near-texts")
-        open_, centres = prefixes(spark, live, state.texts, chosen, settings), 64
+        state.sets = materialize(spark, sets_of(nodes, asked, at, settings, text), "near-sets")
+        open_, centres = prefixes(spark, live, state.sets, chosen, settings), 64
         while open_ is not None:
             open_, centres = state.round(open_, centres), centres * 8
 
@@ -389,9 +404,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame, settings: Settings = Setti
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, settings: Settings = STANDARD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows, with all their columns, that stay: one of each component, and every text without words."""
+    """The rows, with all their columns, that stay: one of each component, and every text without words.
+
+    Of a component the row with the smallest key stays, null keys last, then
+    the first by place.  An empty table gives an empty one.
+    """
     at = located(spark, docs)
     rows, sets = link_components(spark, at, settings, key, text)
     stays = sets.select(F.col("stays.file").alias("_file"), F.col("stays.row").alias("_row")).distinct()
     wordless = rows.where("size = 0").select("_file", "_row")
-    return at.join(stays.union(wordless), ["_file", "_row"], "left_semi").select(*named(docs.columns))
+    return at.join(stays.union(wordless), ["_file", "_row"], "left_semi").select("r.*")
