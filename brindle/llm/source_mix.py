@@ -11,12 +11,13 @@ DataFrame and SQL functions only.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import located, materialize, named, text_or_empty
+from .runtime import located, materialize, named, of_row, text_or_empty
 
 GOLDEN = 0.6180339887498949
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,7 +71,7 @@ def targets(sized: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def mix(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), keys: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source") -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), keys: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source", shuffled_by: tuple[str, ...] | None = None) -> DataFrame:
     """Per row: ``keys``, size, source_size, target and taken.
 
     Sizes are words; a null text has none, and a document without words is
@@ -82,8 +83,8 @@ def mix(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), k
     order = F.md5(F.concat_ws(":", F.lit(settings.seed), *[F.col(k).cast("string") for k in keys]))
     sized = materialize(spark, docs.select(*named(keys), F.col(source).alias("source"), F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"), order.alias("h")), "mix-sizes")
     per_source = materialize(spark, targets(sized, settings), "mix-sources")
-    r = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.count("*").alias("rows"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("sources")).first()
-    size = max(1, min(settings.block, r.total // (settings.blocks * max(1, r.sources))))
+    r = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.count("*").alias("rows")).first()
+    size = max(1, min(settings.block, r.total // (settings.blocks * max(1, per_source.count()))))
     blocks = F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.floor(F.col("source_size") / size))).otherwise(0)
     per_source = per_source.withColumn("blocks", blocks.cast("long")).withColumn("slots", F.when(F.col("blocks") > 0, F.col("target") / (F.col("source_size") / F.col("blocks"))).otherwise(0.0))
     slots = per_source.agg(F.sum("slots")).first()[0] or 0.0
@@ -172,14 +173,21 @@ def _schedule(spark: SparkSession, per_source: DataFrame, slots: float, settings
     )
 
 
-def mixed_rows(spark: SparkSession, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def mixed_rows(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows that the mix takes, with all their columns, repeated as often as it takes them.
 
     A row that is taken in part counts if at least half of its words are.
-    Rows without words are taken 0 times.
+    Rows without words (null, empty or white texts) are taken 0 times; an empty
+    table gives an empty one.  Streams are shuffled by the key and digests of
+    the text and of the whole row, so only rows that are equal in every column
+    can change places: the result is the same wherever and in whatever order
+    the rows are stored.  (Columns of maps and variants are in no digest.)
     """
-    place = ("_file", "_row")
+    plain = [f.name for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
     at = located(spark, docs)
-    taken = mix(spark, at, settings, keys=place).withColumn("_copies", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")).where(F.col("_copies") > 0)
-    rows = at.join(taken.select(*place, "_copies"), list(place))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*named(docs.columns))
+    digests = [F.sha2(text_or_empty(of_row(text)), 256).alias("_text"), F.xxhash64(*[of_row(c) for c in plain]).alias("_all")]
+    slim = at.select("_file", "_row", of_row(key).cast("string").alias("_key"), *digests, of_row(text).alias("text"), of_row(source).alias("source"))
+    taken = mix(spark, slim, settings, keys=("_file", "_row"), shuffled_by=("_key", "_text", "_all"))
+    copies = taken.select("_file", "_row", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("_copies")).where("_copies > 0")
+    rows = at.join(copies, ["_file", "_row"])
+    return rows.select("r", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("r.*")
