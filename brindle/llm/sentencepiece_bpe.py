@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,8 +62,8 @@ class Backtracker:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece] = i
                 self.scores[piece] = model.get_score(i)
-        if len(self.bytes) != 256 or any(MARK in p.lstrip(MARK) for p in self.ids):
-            raise ValueError("only models with byte fallback and word marks at the start are supported")
+        if len(self.bytes) != 256 or any(MARK in p.lstrip(MARK) for p in self.ids) or not set(string.ascii_letters) <= self.ids.keys():
+            raise ValueError("only models with byte fallback, all ASCII letters and word marks at the start are supported")
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
             self.automaton.add_word(piece, len(piece))
@@ -125,13 +126,13 @@ class Backtracker:
             start = end + 1 - size
             if size > longest[start]:
                 longest[start] = size
-        failed = 0  # a bit per position
+        failed = bytearray((n >> 3) + 1)  # a bit per position
         tokens: list[str] = []
         at, token, last = 0, text[: longest[0]], None
         fits, shorter = self.compatible, self.shorter
         while token:
             end = at + len(token)
-            if not failed >> end & 1 and (fits(last, token) if last else self.reachable(token)):
+            if not failed[end >> 3] >> (end & 7) & 1 and (fits(last, token) if last else self.reachable(token)):
                 tokens.append(token)
                 last, at, token = token, end, text[end : end + longest[end]]
             elif shorter[token]:
@@ -139,7 +140,7 @@ class Backtracker:
             else:
                 if last is None:
                     raise ValueError(f"no encoding for {text!r}")
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 at -= len(last)
                 token = tokens.pop()
                 last = tokens[-1] if tokens else None
