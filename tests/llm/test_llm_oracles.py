@@ -1,6 +1,7 @@
 """The queries of this subpackage that SQL can express, against DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from brindle.llm import queries
@@ -10,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return list(frame.columns), sorted(tuple("null" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
+    return list(frame.columns), sorted(tuple("null" if pd.isna(v) else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
