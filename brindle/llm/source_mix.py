@@ -77,10 +77,12 @@ def mix(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), k
     Sizes are words; a null text has none, and a document without words is
     taken 0 times.  A null source is a source of its own.  Equal rows are taken
     each for itself; other columns are not read; an empty table gives an empty
-    one.  The result depends on the rows alone, not on how they are partitioned.
+    one.  A source's stream is in order of a hash of ``shuffled_by`` (``keys``
+    where not given), then of ``keys`` and size: with keys that belong to the
+    rows, the result depends on the rows alone, not on how they are partitioned.
     """
     # one pass over the texts; what follows is narrow
-    order = F.md5(F.concat_ws(":", F.lit(settings.seed), *[F.col(k).cast("string") for k in keys]))
+    order = F.md5(F.concat_ws(":", F.lit(settings.seed), *[F.col(k).cast("string") for k in shuffled_by or keys]))
     sized = materialize(spark, docs.select(*named(keys), F.col(source).alias("source"), F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"), order.alias("h")), "mix-sizes")
     per_source = materialize(spark, targets(sized, settings), "mix-sources")
     r = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.count("*").alias("rows")).first()
