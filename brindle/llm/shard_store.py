@@ -1,27 +1,32 @@
 """A store of immutable shards under versioned manifests, compacted by size tiers.
 
 Arrivals are appended as small Parquet shards.  Shards of similar size (a tier
-spans a factor of ``fanout``) are merged in runs towards a target size.  Every
-change is a new manifest, committed by renaming a complete file to the next
-version's name, which fails if that version exists.  A reader opens one
-manifest and sees exactly its shards; what a failed job leaves is in no
-manifest and is swept later.  DataFrame and SQL functions only; the driver
-lists, names and renames files through Spark's own file systems.
+spans a factor of ``fanout``) are merged into files of about a target size: a
+round reads all shards of a tier in one job and writes one file per task, without
+a shuffle.  Every change is a new manifest, committed by renaming a complete
+file to the next version's name, which fails if that version exists; a writer
+that loses reads the latest version and commits again.
+
+A reader opens one manifest and sees exactly its shards.  Compaction deletes
+nothing: a version stays readable until ``sweep`` drops it, which also removes
+what failed jobs left.  DataFrame and SQL functions only; the driver lists, names
+and renames files through Spark's own file systems, and holds one manifest (some
+100 bytes a shard, so 80 MB for 100 TB in files of the target size).
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import normalised_schema
+from .runtime import named, normalised_schema
 
 
 class CommitConflict(RuntimeError):
@@ -40,9 +45,9 @@ class Settings:
     fanout: int = 4
     #: Bytes of the lowest tier's upper edge.
     lowest: int = 1 << 20
-    #: Merges that run at once.
-    parallel: int = 6
     codec: str = "zstd"
+    #: Times that a commit is tried again after another writer's.
+    retries: int = 20
 
 
 @dataclass(frozen=True)
@@ -122,7 +127,8 @@ class ShardStore:
         writer = df.write.option("compression", self.settings.codec)
         (writer.option("maxRecordsPerFile", rows) if rows else writer).parquet(f"{self.root}/{folder}")
         files = [(f.getPath().getName(), f.getLen()) for f in self.fs.listStatus(self._path(folder)) if f.getPath().getName().startswith("part-")]
-        counted = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("name")).count()
+        back = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}")
+        counted = back.select(back.metadataColumn("_metadata")["file_name"].alias("name")).groupBy("name").count()
         n = dict(counted.collect())  # a row per file just written, from the footers
         return [Shard(f"{folder}/{name}", size, n.get(name, 0), self.tier(size)) for name, size in files if n.get(name, 0)]
 
@@ -130,80 +136,132 @@ class ShardStore:
         """Add a frame's rows as small shards, in one commit.
 
         All appended frames must have the first one's schema (nullability
-        aside).  An empty frame commits a version with no new shard.
+        aside).  An empty frame commits a version with no new shard.  Others may
+        append at the same time: the shards are written once, the commit is
+        tried again.
         """
-        before = self.manifest()
         schema = normalised_schema(df.schema).json()
-        if before.schema not in (None, schema):
-            raise ValueError("the schema differs from the store's")
-        return self.commit(before, [*before.shards, *self._write(df, self.settings.arrival_rows)], schema)
+        made = None
+        for _ in range(self.settings.retries + 1):
+            before = self.manifest()
+            if before.schema not in (None, schema):
+                raise ValueError("the schema differs from the store's")
+            made = self._write(df, self.settings.arrival_rows) if made is None else made
+            try:
+                return self.commit(before, [*before.shards, *made], schema)
+            except CommitConflict:
+                continue
+        raise CommitConflict("other writers were first each time")
 
     def runs(self, shards: tuple[Shard, ...]) -> list[list[Shard]]:
-        """What to merge now: per tier with ``fanout`` shards or more, runs up to the target size."""
-        s, found = self.settings, []
+        """What to merge now: the tiers with ``fanout`` shards or more that are below their full size."""
         by_tier: dict[int, list[Shard]] = {}
         for shard in shards:
-            if shard.bytes < s.target * s.full:
+            if shard.bytes < self.settings.target * self.settings.full:
                 by_tier.setdefault(shard.tier, []).append(shard)
-        for _, own in sorted(by_tier.items()):
-            if len(own) < s.fanout:
-                continue
-            run: list[Shard] = []
-            for shard in sorted(own, key=lambda x: (x.bytes, x.path)):
-                if run and sum(x.bytes for x in run) + shard.bytes > s.target:
-                    found.append(run)
-                    run = []
-                run.append(shard)
-            found.append(run)
-        return [r for r in found if len(r) > 1]
+        return [sorted(own, key=lambda x: (x.bytes, x.path)) for _, own in sorted(by_tier.items()) if len(own) >= max(2, self.settings.fanout)]
+
+    def merged(self, run: list[Shard], schema: T.StructType) -> list[Shard]:
+        """A tier's shards as files of about the target size: one job, a task per file.
+
+        Shards of a tier are alike in size, so tasks that take the same number
+        of them write alike files.
+        """
+        files = math.ceil(sum(x.bytes for x in run) / self.settings.target)
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{x.path}" for x in run])
+        return self._write(rows.coalesce(files))
 
     def compact(self) -> Manifest:
-        """Merge until no tier has a run; a commit per round, after which the inputs are swept."""
+        """Merge until no tier has a run; a commit per round.
+
+        The inputs stay for the readers of earlier versions (see ``sweep``).  If
+        another writer commits during a round, the round's result is committed on
+        top of that, unless the other took away one of its inputs.  An empty
+        store stays as it is.
+        """
         now = self.manifest()
         while runs := self.runs(now.shards):
             schema = T.StructType.fromJson(json.loads(now.schema))
-
-            def merged(run: list[Shard]) -> list[Shard]:
-                rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{x.path}" for x in run])
-                return self._write(rows.coalesce(1))  # one task writes one file of about the target size
-
-            with ThreadPoolExecutor(self.settings.parallel) as pool:
-                made = [s for out in pool.map(merged, runs) for s in out]
-            gone = {s.path for r in runs for s in r}
-            if sum(s.rows for s in made) != sum(s.rows for r in runs for s in r):
+            made = [s for run in runs for s in self.merged(run, schema)]
+            gone = {s.path for run in runs for s in run}
+            if sum(s.rows for s in made) != sum(s.rows for run in runs for s in run):
                 raise RuntimeError("a merge lost rows; nothing was committed")
-            now = self.commit(now, [*(s for s in now.shards if s.path not in gone), *made], now.schema)
-            self.sweep(gone)
+            if len(made) >= len(gone):
+                return now  # files can't become fewer; what was written is swept later
+            for _ in range(self.settings.retries + 1):
+                if not gone <= {s.path for s in now.shards}:
+                    break  # another compaction was first: begin anew from its result
+                try:
+                    now = self.commit(now, [*(s for s in now.shards if s.path not in gone), *made], now.schema)
+                    break
+                except CommitConflict:
+                    now = self.manifest()
+            else:
+                raise CommitConflict("other writers were first each time")
         return now
 
-    def sweep(self, gone: set[str]) -> None:
-        """Delete shards that the latest manifest no longer has."""
-        held = {s.path for s in self.manifest().shards}
-        for path in gone - held:
-            self.fs.delete(self._path(path), False)
+    def sweep(self, keep: int = 2, older_than: float = 3600.0) -> int:
+        """Delete all but the ``keep`` latest versions, and every data file that these don't name; return how many files.
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with ``_shard``: the file's name."""
+        Files younger than ``older_than`` seconds stay, as a writer may be about
+        to commit them; readers of dropped versions fail.
+        """
+        versions = self.versions()
+        for version in versions[:-keep]:
+            self.fs.delete(self._path(f"manifests/v{version:010d}.json"), False)
+        held = {s.path for version in versions[-keep:] for s in self.manifest(version).shards}
+        before, gone = (time.time() - older_than) * 1000, 0
+        if not self.fs.exists(self._path("data")):
+            return 0
+        for folder in self.fs.listStatus(self._path("data")):
+            left = 0
+            for f in self.fs.listStatus(folder.getPath()):
+                name = f"data/{folder.getPath().getName()}/{f.getPath().getName()}"
+                if name not in held and f.getModificationTime() <= before:
+                    self.fs.delete(f.getPath(), True)
+                    gone += f.getPath().getName().startswith("part-")
+                else:
+                    left += 1
+            if not left and folder.getModificationTime() <= before:
+                self.fs.delete(folder.getPath(), True)
+        return gone
+
+    def read(self, version: int | None = None, shard: str = "_shard") -> DataFrame:
+        """The rows of a version, with the name of their file under the name ``shard``.
+
+        Columns may have any other names.  A version without shards, or version
+        0, has no rows.
+        """
         found = self.manifest(version)
         schema = T.StructType.fromJson(json.loads(found.schema)) if found.schema else T.StructType()
+        if shard in schema.names:
+            raise ValueError(f"the table has a column {shard!r}; give another name for the shard's")
         if not found.shards:
-            return self.spark.createDataFrame([], schema.add("_shard", "string"))
+            return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(shard, T.StringType())]))
         rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in found.shards])
-        return rows.select("*", F.col("_metadata.file_name").alias("_shard"))
+        return rows.select("*", rows.metadataColumn("_metadata")["file_name"].alias(shard))
 
 
-def compacted(spark: SparkSession, docs: DataFrame, root: str, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def compacted(spark: SparkSession, docs: DataFrame, root: str, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Append ``docs`` to a store, compact it, and read it back.
 
-    Per row: key, shard (file name), shard_rows and shard_bytes, version of the
-    manifest, and text_sha256 of the stored text (null for a null text).  Equal
-    rows are stored each for itself; every column is stored; an empty table
-    gives an empty result.
+    Per row: key, ``columns``, text_sha256 of the stored text (null for a null
+    text), and ``listed``: whether the row's file is in the last manifest with
+    as many rows as are read from it.  Equal rows are stored each for itself;
+    every column is stored, whatever its name; an empty table gives an empty
+    result.
     """
     store = ShardStore(spark, root, settings)
     store.append(docs)
     final = store.compact()
-    shards = spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.rows, s.bytes, s.tier) for s in final.shards], "_shard string, shard_rows long, shard_bytes long, tier int")
-    rows = store.read(final.version)
-    # a row per shard: the manifest itself
-    return rows.select(F.col(key), "_shard", F.sha2(F.col(text), 256).alias("text_sha256")).join(F.broadcast(shards), "_shard").select(F.col(key), F.col("_shard").alias("shard"), "shard_rows", "shard_bytes", "tier", F.lit(final.version).alias("version"), "text_sha256")
+    store.sweep(1, 0.0)  # nobody else has this store
+    name = "_shard"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    rows = store.read(final.version, name)
+    # a row per shard: the manifest itself, and what is counted from the files
+    shards = spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.rows) for s in final.shards], "_file string, _rows long")
+    counted = rows.groupBy(name).agg(F.count("*").alias("_read"))
+    known = shards.join(counted, F.col("_file") == F.col(name)).select("_file", (F.col("_rows") == F.col("_read")).alias("listed"))
+    found = rows.select(*named([key, *columns]), F.col(name).alias("_file"), F.sha2(*named([text]), 256).alias("text_sha256"))
+    return found.join(F.broadcast(known), "_file", "left").select(*named([key, *columns]), "text_sha256", F.coalesce("listed", F.lit(False)).alias("listed"))
