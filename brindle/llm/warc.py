@@ -160,7 +160,9 @@ def write(spark: SparkSession, pages: DataFrame, root: str, settings: Settings =
     long_enough = rows.where(F.col("size") >= settings.least)
     first = long_enough.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1).select("digest", "first")
     revisit = (F.col("key") != F.col("first")) | (F.col("key").isNull() & F.col("first").isNotNull())
-    judged = rows.join(first, "digest", "left").select("key", "url", "payload", "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
+    # payloads too short to be revisits have no group: each goes its own way; one long payload of very many rows is a join that Spark splits
+    group = F.when(F.col("size") >= settings.least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("key", "url").cast("string")))
+    judged = rows.withColumn("group", group).join(first.withColumnRenamed("digest", "group"), "group", "left").select("key", "url", "payload", "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
     # a first cut by the hash, at four times the bound, so that no task sends more than it must
     place = F.xxhash64("digest", "key")
@@ -184,7 +186,7 @@ def write(spark: SparkSession, pages: DataFrame, root: str, settings: Settings =
 def read(spark: SparkSession, archives: DataFrame, root: str) -> DataFrame:
     """Per page record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, archive.
 
-    Size and digest of a response are those of the payload read, and must be
+    No archives give no rows; a record of a null key has a null page_id.  Size and digest of a response are those of the payload read, and must be
     what its headers say; those of a revisit are what its headers say.
     """
     workers_import_this(spark)
