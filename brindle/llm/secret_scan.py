@@ -9,8 +9,10 @@ is random within a run: a part between ``/ = - _ +``, or a window.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -82,16 +84,19 @@ def is_known_form(run: str) -> bool:
 
 
 def random_spans(text: str, test: TokenEfficiency, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs that the token-efficiency test exposes, but for those inside ``taken``."""
+    """Runs that the token-efficiency test exposes, but for those inside ``taken`` (in order)."""
+    starts, reach = [s[0] for s in taken], list(itertools.accumulate((s[1] for s in taken), max))
+
+    def inside(a: int, b: int) -> bool:
+        at = bisect.bisect_right(starts, a)
+        return at > 0 and reach[at - 1] >= b
+
     found = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if is_known_form(run) or any(a <= m.start() and m.end() <= b for a, b, _ in taken):
+        if is_known_form(m[0]) or inside(*m.span()):
             continue
-        for i, j in random_parts(run, test):
-            i, j = m.start() + i, m.start() + j
-            if not any(a <= i and j <= b for a, b, _ in taken):
-                found.append((i, j, "random"))
+        spans = [(m.start() + i, m.start() + j) for i, j in random_parts(m[0], test)]
+        found += [(a, b, "random") for a, b in spans if not inside(a, b)]
     return found
 
 
