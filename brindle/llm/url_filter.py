@@ -211,9 +211,13 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule], settings: Se
     if fitted is None:
         return out.select(*named([key]), "host", "path", "rule", F.coalesce("_ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
     model, threshold = fitted
-    open_urls = out.where(F.col("_ruled").isNull() & F.col("url").isNotNull())
-    scores = scored(open_urls.select("url").distinct(), model, settings, ["url"])
-    asked = out.join(scores, "url", "left")
-    score = F.when(F.col("_ruled").isNull(), F.col("score"))
+    # only URLs that no rule decides are looked up; all others go their own way
+    asked = F.col("_ruled").isNull() & F.col("url").isNotNull()
+    scores = scored(out.where(asked).select("url").distinct(), model, settings, ["url"])
+    scores = materialize(spark, scores, "url-scores")
+    # two plain tables: where one URL has very many rows, Spark deals that partition to several tasks
+    judged = out.where(asked).join(scores, "url")
+    plain = out.where(~asked).withColumn("score", F.lit(None).cast("double"))
+    every = judged.select(*plain.columns).unionByName(plain)
     verdict = F.coalesce("_ruled", F.when(F.col("score") < threshold, "block"), F.lit("allow"))
-    return asked.select(*named([key]), "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
+    return every.select(*named([key]), "host", "path", "rule", verdict.alias("verdict"), "score")
