@@ -12,27 +12,47 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter, and those far from every language."""
+    """Drops texts without a letter, and those far from every language.
+
+    Null and empty texts have no letter; repeated rows are judged each for
+    itself; an empty table stays empty, one without labels keeps all letters.
+    """
     return language_id.keep_identified(spark, docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one row stays."""
+    """Of texts that are equal but for white space, one row stays.
+
+    The longest, then the smallest doc_id (null last), then the first of fully
+    equal rows; null and empty texts are equal; an empty table stays empty.
+    """
     return exact_dedup.keep_one(spark, docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the row with the smallest doc_id stays."""
+    """Of each group of near copies, the row with the smallest doc_id stays.
+
+    Texts without words are copies of nothing and stay; null doc_ids come last;
+    of equal rows one stays; an empty table stays empty.
+    """
     return near_dedup.keep_one(spark, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix of sources takes them."""
+    """Rows as often as the mix of sources takes them, the same in every run.
+
+    Rows without words are not taken; a null source is a source; equal rows are
+    taken each for itself; an empty table stays empty.
+    """
     return source_mix.mixed_rows(spark, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, as digests and counts."""
+    """Ids of each text, as digests and counts.
+
+    Null and empty texts have none; repeated rows repeat; an empty table gives
+    an empty one.
+    """
     return sentencepiece_bpe.encode_digests(spark, docs, PIECE_MODEL)
 
 
