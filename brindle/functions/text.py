@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +63,12 @@ def digest(content: Column) -> Column:
 def casefold(text: str) -> str:
     """Python's folding, for the driver's short strings."""
     return text.strip().casefold()
+
+
+def _folded(texts: pa.Array) -> pa.Array:
+    return pa.array([t if t is None else t.casefold() for t in texts.to_pylist()], pa.string())
+
+
+def folded(column: str) -> Column:
+    """Python's folding of a column (``straße`` and ``STRASSE`` are alike), a batch at a time; computed once where a table is staged."""
+    return F.arrow_udf(_folded, "string")(F.col(column))

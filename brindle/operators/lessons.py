@@ -7,6 +7,7 @@ stale once either digest is no longer the live one; that is computed on read.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,23 @@ def eligible(lessons: DataFrame, symbols: DataFrame, hashes: DataFrame) -> DataF
     )
 
 
+def of_scopes(lessons: DataFrame | None, scopes: list[str]) -> list[dict]:
+    """The lessons of a request's symbols, in order of id; the symbols bound them."""
+    if lessons is None or not scopes:
+        return []
+    wanted = lessons.sparkSession.createDataFrame([(s,) for s in scopes], "scope string")
+    return [r.asDict() for r in lessons.join(F.broadcast(wanted), "scope", "left_semi").orderBy("id").collect()]
+
+
+def visible(rows: list[dict]) -> dict[str, list[dict]]:
+    """Confirmed fresh lessons in full; of others only id, status and staleness."""
+    out: dict[str, list[dict]] = {"lessons": [], "excluded_lessons": []}
+    for r in rows:
+        good = r["status"] == "confirmed" and not r["stale"]
+        out["lessons" if good else "excluded_lessons"].append(r if good else {k: r[k] for k in ("id", "status", "stale")})
+    return out
+
+
 class LessonTable:
     """Lessons as versions of a Parquet table; a pointer file names the current one.
 
@@ -73,9 +91,9 @@ class LessonTable:
     def _publish(self, rows: DataFrame) -> None:
         if self.read_only:
             raise ValueError("the lesson table is read-only")
-        name = f"v{dt.datetime.now(dt.UTC):%Y%m%d%H%M%S%f}"
+        name = f"v{dt.datetime.now(dt.UTC):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{name}")
-        draft = self._path(".CURRENT.draft")
+        draft = self._path(f".{name}.draft")
         out = self.fs.create(draft, True)
         out.write(bytearray(name.encode()))
         out.close()
@@ -120,8 +138,8 @@ class LessonTable:
         self._publish(self.read().withColumn("status", F.when(F.col("id") == number, F.lit(status)).otherwise(F.col("status"))))
 
     def list(self, hashes: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
-        """Lessons with ``stale``, all or those of the given scopes (``id``)."""
+        """Lessons with ``stale``, all or those of the given scopes (``id``), in order of their ids."""
         rows = self.read()
         if scopes is not None:
             rows = rows.join(scopes.select(F.col("id").alias("scope")), "scope", "left_semi").select(*rows.columns)
-        return with_freshness(rows, hashes)
+        return with_freshness(rows, hashes).orderBy("id")

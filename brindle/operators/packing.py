@@ -56,19 +56,23 @@ def _placed(rows: DataFrame, kept: list[tuple], start: int, flag: str, total: st
 
 
 def pack(sections: DataFrame, header_bytes: int, budget: int, reserve: int = 0) -> DataFrame:
-    """Per section (pos, id, bytes, seed): whether it is kept, and the bytes used after it.
+    """Per section (pos, id, bytes, seed, free?, needs?): whether it is kept, and the bytes used after it.
 
     A section fits if the text's bytes with it, over three and rounded up, are
     at most the budget less the reserve.  A seed that fits only without the
-    reserve ends the reserve for good.  The order is by pos and id.
+    reserve ends the reserve for good.  ``free`` sections are what the reserve
+    is held for: they need not leave it.  A section that ``needs`` another id
+    is kept only after that one.  The order is by pos and id.
     """
-    rows = sections.select(F.col("pos").cast("long").alias("pos"), F.col("id").cast("string").alias("id"), F.col("bytes").cast("long").alias("bytes"), F.coalesce("seed", F.lit(False)).alias("seed"))
-    rows = stage(rows.withColumn("nth", F.monotonically_increasing_id()), "sections-to-pack")
-    used, kept = header_bytes, []
+    optional = {"free": "boolean", "needs": "string"}
+    extra = [F.col(c).cast(t).alias(c) if c in sections.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()]
+    rows = sections.select(F.col("pos").cast("long").alias("pos"), F.col("id").cast("string").alias("id"), F.col("bytes").cast("long").alias("bytes"), F.coalesce("seed", F.lit(False)).alias("seed"), *extra)
+    rows = stage(rows.withColumn("free", F.coalesce("free", F.lit(False))).withColumn("nth", F.monotonically_increasing_id()), "sections-to-pack")
+    used, kept, ids = header_bytes, [], set()
 
     def may_fit() -> Column:
         cost = F.ceil((F.col("bytes") + used) / 3)
-        return (cost <= budget - reserve) | F.col("seed") & (cost <= budget)
+        return (cost <= budget - reserve) | (F.col("seed") | F.col("free")) & (cost <= budget)
 
     def step(r: Row) -> bool:
         nonlocal used, reserve
@@ -76,9 +80,10 @@ def pack(sections: DataFrame, header_bytes: int, budget: int, reserve: int = 0)
         freed = r.seed and budget - reserve < cost <= budget
         if freed:
             reserve = 0
-        if cost <= budget - reserve:
+        if cost <= budget - reserve * (not r.free) and (r.needs is None or r.needs in ids):
             used += r.bytes
             kept.append((r.pos, r.id or "", r.nth, used))
+            ids.add(r.id)
         return freed
 
     _rounds(rows, ["pos", "id", "nth"], may_fit, step)

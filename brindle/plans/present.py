@@ -16,6 +16,8 @@ FIRST = (
     "schema_version", "status", "stop_reason", "run_id", "text", "context", "verification", "complete",
     "budget", "estimated_tokens", "missing_seeds", "omitted", "presentation",
 )
+FULL_DETAIL = "Ask again with detail='full' for all diagnostics; that is a fresh run over the tree as it is then, not this one."
+SCOPE = "Only examples of warnings, reasons and matched terms, and trace entries that repeat the report, are shortened, and counted; ranked identities, order, scores, lesson ids, source text and coverage gaps are whole. The response's size is not budgeted."
 #: Where ranked rows stand in a report.
 RANKED = (("search_matches",), ("matches",), ("context", "retrieval", "candidates"))
 
@@ -32,7 +34,7 @@ def present(report: dict, detail: str = "compact") -> dict:
     for path in RANKED:
         short = _at(short, path, lambda value, path=path: _ranked(value, ".".join(path), notes))
     short = _warnings(short, "", notes)
-    short["presentation"] = {"detail": "compact", "warning_limit": ITEMS, "ranking_item_limit": ITEMS, "ranking_reason_char_limit": WARNING_CHARS, "ranking_term_char_limit": TERM_CHARS, "fields": notes}
+    short["presentation"] = {"detail": "compact", "warning_limit": ITEMS, "ranking_item_limit": ITEMS, "ranking_reason_char_limit": WARNING_CHARS, "ranking_term_char_limit": TERM_CHARS, "fields": notes, "full_detail": FULL_DETAIL, "scope": SCOPE}
     return {k: short[k] for k in sorted(short, key=lambda k: FIRST.index(k) if k in FIRST else len(FIRST))}
 
 

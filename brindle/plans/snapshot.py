@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.python_units import unit
+from ..functions.text import casefold, folded
 from ..operators import cache, diff, linking, ranking
 from ..schemas import UNIT
 from ..sources.tree import capture, rejection
@@ -76,7 +77,7 @@ class Snapshot:
         if problem:
             warnings.append(problem)
         good = units.where("hash IS NOT NULL")
-        symbols = stage(good.select(F.inline("symbols")), "symbols")
+        symbols = stage(good.select(F.inline("symbols")).withColumn("folded", F.array(folded("id"), folded("name"))), "symbols")
         modules = linking.last_wins(good.select("module", "path", "aliases"), "module", "path", "aliases")
         aliases = modules.select("module", F.explode("aliases").alias("name", "target"))
         edges = stage(linking.link(good.select(F.inline("calls")), symbols, aliases), "edges")
@@ -109,12 +110,9 @@ class Snapshot:
 
     def lexical(self, query: str) -> DataFrame:
         """Rows of BM25 over names, paths and bodies; a query that is a name or an id is exact."""
-        wanted = query.strip().casefold()
-        rows = self.symbols
-        if not wanted:
-            return ranking.lexical(rows, query, self.fields())
-        folded = F.udf(lambda x: x.casefold(), "string") if not wanted.isascii() else F.lower
-        return ranking.lexical(rows, query, self.fields(), exact=(folded(F.col("id")) == wanted) | (folded(F.col("name")) == wanted))
+        wanted = casefold(query)
+        exact = F.array_contains("folded", wanted) if wanted else None
+        return ranking.lexical(self.symbols, query, self.fields(), exact=exact)
 
     def select(self, name: str) -> str:
         """The id that a name or an id means; ``ValueError`` if none or several."""
@@ -131,7 +129,7 @@ class Snapshot:
     def describe(self) -> dict:
         """Everything but the bytes; for trees that fit a report."""
         return {
-            "files": self.hashes.count(), "symbols": [r.asDict() for r in self.symbols.orderBy("id").collect()],
+            "files": self.hashes.count(), "symbols": [r.asDict() for r in self.symbols.drop("folded").orderBy("id").collect()],
             "edges": [{"from": r.src, "to": r.dst, "kind": "calls"} for r in self.edges.orderBy("src", "dst").collect()],
             "warnings": self.warnings, "file_hashes": dict(self.hashes.select("path", "hash").collect()), **({"indexing": self.indexing} if self.indexing else {}),
         }

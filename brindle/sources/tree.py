@@ -157,8 +157,22 @@ class _GitReader(DataSourceReader):
         return [_Blobs(rows[i : i + self.batch]) for i in range(0, len(rows), self.batch)] or [_Blobs([])]
 
     def read(self, partition: _Blobs) -> Iterator[tuple]:
-        for path, oid in partition.rows:
-            yield (path, None, oid[1:]) if oid[0] == "!" else (path, git(self.root, "cat-file", "blob", oid), None)
+        """One Git process for all blobs of a partition; each is asked for when the one before was read."""
+        yield from ((path, None, oid[1:]) for path, oid in partition.rows if oid[0] == "!")
+        wanted = [(path, oid) for path, oid in partition.rows if oid[0] != "!"]
+        if not wanted:
+            return
+        with subprocess.Popen(["git", "-c", "core.fsmonitor=false", "-C", self.root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as batch:
+            for path, oid in wanted:
+                batch.stdin.write(f"{oid}\n".encode())
+                batch.stdin.flush()
+                about = batch.stdout.readline().split()
+                if len(about) != 3 or about[1] != b"blob":
+                    raise ValueError(f"Git has no blob for {path}")
+                content = batch.stdout.read(int(about[2]))
+                batch.stdout.read(1)  # the line feed after it
+                yield path, content, None
+            batch.stdin.close()
 
 
 def git_capture(spark: SparkSession, root: str, commit: str) -> DataFrame:

@@ -152,7 +152,7 @@ def test_lessons(spark, tree, tmp_path):
     with pytest.raises(ValueError):
         table.set_status(2, "confirmed", Snapshot.of_tree(spark, str(tree)).hashes)
     assert service.search_symbols("zebra")["matches"] == []
-    assert service.get_lessons([scope])["excluded"][1] == {"id": 2, "status": "confirmed", "stale": True}
+    assert service.get_lessons([scope])["excluded_lessons"][1] == {"id": 2, "status": "confirmed", "stale": True}
 
 
 def git(root, *args):
