@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stage
+
 # The outcomes that count as scored, and the pairs compared.
 SCORED = ("passed", "test_failed", "timeout", "invalid_candidate")
 CONDITIONS = ("task_only", "lexical", "context", "fresh_memory", "stale_memory", "hybrid", "hybrid_fresh_memory", "hybrid_stale_memory")
 
+#: What a trial's packet is made of, and the note it is given: whole files, or an investigation by a retrieval policy.
+TREATMENTS = {
+    "lexical": ("files", None), "graph": ("legacy", None), "memory": ("legacy", "fresh"), "stale_memory": ("legacy", "stale"),
+    "hybrid": ("hybrid", None), "hybrid_memory": ("hybrid", "fresh"), "hybrid_stale_memory": ("hybrid", "stale"),
+}
+
 
 def condition_summary(trials: DataFrame, scored: Column, passed: Column) -> DataFrame:
     """Per condition: completed, scored, passed, unscored and the rate of passes (null if none is scored)."""
@@ -51,6 +59,24 @@ def pending(planned: DataFrame, done: DataFrame) -> DataFrame:
     return planned.join(done.where(F.col("outcome").isin(*SCORED)).select("request_hash"), "request_hash", "left_anti")
 
 
+def ranked_where_needed(scores: DataFrame, selected: int) -> DataFrame:
+    """From all scored rows (case, id, score, expected), those that ``retrieval_quality`` looks at.
+
+    These are the ``selected`` best of each case and all expected ones, with
+    ranks for the best and for the first expected row; the others have none.
+    No case is sorted as a whole: each task passes on its best rows, and what
+    stands before the first expected row is counted.
+    """
+    scores = stage(scores, "case-scores")
+    best = Window.partitionBy("case").orderBy(F.desc("score"), "id")
+    top = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= selected).withColumn("selected", F.lit(True))
+    first = scores.where("expected").groupBy("case").agg(F.min(F.struct((-F.col("score")).alias("less"), "id")).alias("first"))
+    before = F.struct((-F.col("score")).alias("less"), "id") < F.col("first")
+    place = scores.join(F.broadcast(first), "case").groupBy("case", F.col("first.id").alias("id")).agg((F.count_if(before) + 1).alias("place"))  # a row per case
+    others = scores.where("expected").join(top.select("case", "id"), ["case", "id"], "left_anti").join(F.broadcast(place), ["case", "id"], "left")
+    return top.select("case", "id", "rank", "expected", "selected").unionByName(others.select("case", "id", F.col("place").alias("rank"), "expected", F.lit(False).alias("selected")))
+
+
 def retrieval_quality(ranked: DataFrame) -> DataFrame:
     """Per case (case, id, rank, expected, selected): recall, precision and reciprocal rank.
 
@@ -64,6 +90,19 @@ def retrieval_quality(ranked: DataFrame) -> DataFrame:
     )
 
 
+def set_recall(expected: DataFrame, found: DataFrame, *methods: str) -> DataFrame:
+    """Per case: of the expected ids (case, id), the part that each method found (case, id, method).
+
+    A column ``<method>_recall`` for each of ``methods``, and how many expected
+    ids the first of them missed; repeated ids count once; cases that expect
+    nothing have no row.
+    """
+    wanted = expected.select("case", "id").distinct()
+    hits = found.groupBy("case", "id").agg(*[F.bool_or(F.col("method") == m).alias(m) for m in methods])
+    rows = wanted.join(hits, ["case", "id"], "left").select("case", *[F.coalesce(m, F.lit(False)).alias(m) for m in methods])
+    return rows.groupBy("case").agg(*[(F.count_if(m) / F.count("*")).alias(f"{m}_recall") for m in methods], F.count_if(~F.col(methods[0])).alias("missing"))
+
+
 def mean_reciprocal_rank(quality: DataFrame) -> DataFrame:
     """Over the cases that expect anything."""
     return quality.agg(F.avg("reciprocal_rank").alias("mrr"))

@@ -114,5 +114,5 @@ def distinct_in_order(rows: DataFrame, value: str, order: str) -> DataFrame:
 
 def files_in_order(matches: DataFrame, files: DataFrame, header_bytes: int, budget: int) -> DataFrame:
     """Whole files (path, bytes) in the order of their first match (path, pos), packed."""
-    first = distinct_in_order(matches, "path", "pos").join(files, "path")
-    return pack(first.select("pos", F.col("path").alias("id"), "bytes", F.lit(False).alias("seed")), header_bytes, budget)
+    first = stage(distinct_in_order(matches, "path", "pos").join(files, "path").select("pos", F.col("path").alias("id"), "bytes", F.lit(False).alias("seed")), "files-to-pack")
+    return pack(first, header_bytes, budget)

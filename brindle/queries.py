@@ -231,10 +231,9 @@ SELECT id AS doc_id, round(score, 6) AS score, round(memory, 6) AS memory FROM (
   ORDER BY score DESC, id LIMIT 50)""")
 def hybrid_search_documents(spark, sf_dir):
     """Documents, with the note signal of their source."""
-    by_source = ranking.note_signals(eligible_notes(spark, sf_dir), QUERY)
-    rows = stage(doc_scores(spark, sf_dir), "doc-scores")
-    notes = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("scope")).join(by_source, "scope").drop("scope").withColumnRenamed("id", "scope")
-    mixed = ranking.hybrid(rows, notes).where("lexical > 0")
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("scope"))
+    rows = ranking.lexical(docs, QUERY, {"body": F.col("text")}, keep=("scope",))
+    mixed = ranking.hybrid_by_scope(rows, ranking.note_signals(eligible_notes(spark, sf_dir), QUERY), "scope")
     return ranking.top(mixed, 50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.round("memory", 6).alias("memory"))
 
 
@@ -252,7 +251,7 @@ SEED = "o:1"
 def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = t(spark, sf_dir, "orders").select(F.concat(F.lit("c:"), "o_custkey").alias("src"), F.concat(F.lit("o:"), "o_orderkey").alias("dst"))
     held = t(spark, sf_dir, "lineitem").select(F.concat(F.lit("o:"), "l_orderkey").alias("src"), F.concat(F.lit("p:"), "l_partkey").alias("dst"))
-    return stage(made.unionByName(held).distinct(), "order-edges")
+    return made.unionByName(held)
 
 
 def seed(spark: SparkSession) -> DataFrame:
@@ -268,7 +267,7 @@ def _reach(depth: int) -> str:
 
 def _impact(depth: int):
     def run(spark, sf_dir):
-        return graph.expand(order_edges(spark, sf_dir), seed(spark), depth).select("id", "distance")
+        return graph.within(order_edges(spark, sf_dir), seed(spark), depth).select("id", "distance")
 
     run.__name__ = f"impact_depth{depth}"
     query(f"WITH {_reach(depth)} SELECT id, distance FROM reached")(run)
@@ -294,11 +293,11 @@ def impact_reasons(spark, sf_dir):
 @query(f"WITH {_reach(1)} SELECT DISTINCT other AS id FROM near WHERE node IN (SELECT id FROM reached) AND other NOT IN (SELECT id FROM reached)")
 def graph_frontier(spark, sf_dir):
     edges = order_edges(spark, sf_dir)
-    return graph.frontier(edges, graph.expand(edges, seed(spark), 1))
+    return graph.frontier(edges, graph.within(edges, seed(spark), 1))
 
 
 def _ranked_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = graph.expand(order_edges(spark, sf_dir), seed(spark), 3).select("id", "distance")
+    pool = graph.within(order_edges(spark, sf_dir), seed(spark), 3)
     rows = part_rows(spark, sf_dir, "red bolt").withColumn("id", F.concat(F.lit("p:"), "id"))
     notes = spark.createDataFrame([], "scope string, memory double, lesson_ids array<bigint>")
     return ranking.rank_pool(pool, rows, notes)
@@ -580,16 +579,14 @@ round(coalesce(1.0 / min(rank) FILTER (expected), 0), 6) AS reciprocal_rank FROM
 
 
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .storage import ordinal
-
+    """A case per term of the query; the texts are read once for all of them."""
     good = t(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct().withColumn("expected", F.lit(True))
-    every = None
-    for term in DOC_TERMS:
-        ranked = ordinal(doc_scores(spark, sf_dir, term).select("id", "lexical"), "rank", F.desc("lexical"), F.asc("id"))
-        rows = ranked.select(F.lit(term).alias("case"), "id", (F.col("rank") + 1).alias("rank")).join(good, "id", "left")
-        rows = rows.withColumn("expected", F.coalesce("expected", F.lit(False))).withColumn("selected", F.col("rank") <= 20)
-        every = rows if every is None else every.unionByName(rows)
-    return evaluation.retrieval_quality(every)
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    terms = sorted(DOC_TERMS)
+    scored = ranking.with_statistics(stage(ranking.frequencies(docs, {"body": F.col("text")}, terms, ["id"]), "frequencies"), ["body"], len(terms))
+    cases = F.inline(F.array(*[F.struct(F.lit(x).alias("case"), ranking.bm25("body", len(terms), [i]).alias("score")) for i, x in enumerate(terms)]))
+    rows = scored.select("id", cases).where("score > 0").join(good, "id", "left").withColumn("expected", F.coalesce("expected", F.lit(False)))
+    return evaluation.retrieval_quality(evaluation.ranked_where_needed(rows, 20))
 
 
 @query(_quality_sql())
@@ -597,6 +594,19 @@ def retrieval_quality(spark, sf_dir):
     return _quality(spark, sf_dir).select("case", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank")])
 
 
+@query("""WITH expected AS (SELECT DISTINCT n_name AS "case", c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000),
+hits AS (SELECT e."case", e.id, EXISTS (SELECT 1 FROM orders WHERE o_custkey = e.id AND o_totalprice > 400000) AS graph,
+  EXISTS (SELECT 1 FROM customer WHERE c_custkey = e.id AND c_mktsegment = 'BUILDING') AS lexical FROM expected e)
+SELECT "case", round(count(*) FILTER (graph) / count(*), 6) AS graph_recall, round(count(*) FILTER (lexical) / count(*), 6) AS lexical_recall, count(*) FILTER (NOT graph) AS missing FROM hits GROUP BY "case\"""")
+def set_recall_pair(spark, sf_dir):
+    """Customers that are wanted of each nation, found by their orders or by their segment."""
+    own = t(spark, sf_dir, "customer").join(F.broadcast(t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("case"), F.col("c_custkey").alias("id"), "c_acctbal", "c_mktsegment")
+    ordered = own.join(t(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("id")), "id", "left_semi")
+    found = ordered.select("case", "id", F.lit("graph").alias("method")).unionByName(own.where("c_mktsegment = 'BUILDING'").select("case", "id", F.lit("lexical").alias("method")))
+    rows = evaluation.set_recall(own.where("c_acctbal > 9000").select("case", "id"), found, "graph", "lexical")
+    return rows.select("case", F.round("graph_recall", 6).alias("graph_recall"), F.round("lexical_recall", 6).alias("lexical_recall"), "missing")
+
+
 @query(f"SELECT round(avg(reciprocal_rank), 6) AS mrr FROM ({_quality_sql()})")
 def mean_reciprocal_rank(spark, sf_dir):
     return evaluation.mean_reciprocal_rank(_quality(spark, sf_dir)).select(F.round("mrr", 6).alias("mrr"))

@@ -80,3 +80,49 @@ def test_presentation(spark):
     assert [r.i for r in got] == [9, *range(7)] and {r.total for r in got} == {10}
     cut = spark.range(1).select(presentation.shortened(F.array(*[F.lit("x" * 99)] * 9)).alias("s")).first().s
     assert (len(cut["items"]), len(cut["items"][0]), cut.total) == (8, 80, 9)
+
+
+@pytest.fixture
+def coding(tmp_path):
+    (tmp_path / "shop").mkdir()
+    (tmp_path / "shop" / "prices.py").write_text("def net_price(x):\n    return round_cent(x) * 2\n\n\ndef round_cent(x):\n    return round(x, 2)\n")
+    (tmp_path / "shop" / "long.py").write_text("def price_table():\n    pass\n" + "    # net_price\n" * 2000 + "    return 1\n")
+    row = {"id": "t", "directory": "shop", "task": "round to cents", "query": "net_price", "editable": ["prices.py"], "scope": "prices.py:round_cent", "evidence": "prices.py", "lesson": "net prices are rounded first"}
+    (tmp_path / "suite.json").write_text(json.dumps({"schema_version": 1, "tasks": [row]}))
+    return tmp_path, experiments.load_suite(str(tmp_path / "suite.json"))[0]
+
+
+def test_requests(spark, coding):
+    at, task = coding
+    seen = {}
+    for condition in ("lexical", "hybrid_memory", "hybrid_stale_memory"):
+        root = experiments.trial_tree(task, str(at / "scratch"))
+        request, told = experiments.build_request(spark, task, root, condition, "some-model", 1200, 200)
+        assert request["request_hash"] == experiments.fingerprint({k: v for k, v in request.items() if k != "request_hash"})
+        assert told["prompt_estimated_tokens"] == -(-len(request["prompt"].encode()) // 3) <= 1200
+        seen[condition] = told | {"prompt": request["prompt"]}
+    assert seen["lexical"]["included_files"] == ["prices.py"] and seen["lexical"]["omitted_files"] == ["long.py"]
+    assert seen["hybrid_memory"]["included_lessons"] == [1] and "rounded first" in seen["hybrid_memory"]["prompt"]
+    assert seen["hybrid_stale_memory"]["included_lessons"] == [] and "rounded first" not in seen["hybrid_stale_memory"]["prompt"]
+    assert seen["lexical"]["lesson_origin"] is None and "prices.py:net_price" in seen["hybrid_memory"]["included_symbols"]
+    for bad in (("nope", "m", 1200, 200), ("lexical", " ", 1200, 200), ("lexical", "m", 100, 200), ("lexical", "m", 1200, 1)):
+        with pytest.raises(ValueError):
+            experiments.build_request(spark, task, str(at / "shop"), *bad)
+
+
+def test_exported_and_frozen_requests(spark, coding):
+    at, task = coding
+    paths = experiments.export_requests(spark, [task], str(at / "out"), str(at / "scratch"), "m", 1200, 200, ["lexical", "graph"])
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["t--lexical.json", "t--graph.json"]
+    assert json.loads(open(paths[0]).read())["trial_id"] == "t:lexical"
+    manifest = experiments.prepare_trials(spark, [task], str(at / "frozen"), str(at / "scratch"), "m", 2, 1200, 200, ["lexical"])
+    assert manifest["order"] == ["t-lexical-r1", "t-lexical-r2"] and "plans/experiments.py" in manifest["engine_hashes"]
+    with pytest.raises(ValueError):
+        experiments.prepare_trials(spark, [task], str(at / "frozen"), str(at / "scratch"), "m", 2, 1200, 200, ["lexical"])
+
+
+def test_set_recall(spark):
+    expected = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), ("b", "z")], "case string, id string")
+    found = spark.createDataFrame([("a", "x", "graph"), ("a", "q", "graph"), ("a", "x", "lexical"), ("a", "y", "lexical"), ("b", "q", "lexical")], "case string, id string, method string")
+    got = {r.case: (r.graph_recall, r.lexical_recall, r.missing) for r in evaluation.set_recall(expected, found, "graph", "lexical").collect()}
+    assert got == {"a": (0.5, 1.0, 1), "b": (0.0, 0.0, 1)}

@@ -1,6 +1,7 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from brindle import queries as core
@@ -19,7 +20,7 @@ def db():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return list(frame.columns), sorted(tuple("null" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
+    return list(frame.columns), sorted(tuple("null" if pd.isna(v) else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(core.ORACLES))

@@ -211,3 +211,21 @@ def test_investigation_clock_and_bounds(spark, tree, tmp_path):
     for bad in ({}, {"task": "a", "ref": "b"}, {"task": " "}, {"symbols": []}, {"task": "a", "max_tokens": 1}, {"task": "a", "max_seconds": float("nan")}):
         with pytest.raises(ValueError):
             investigate(spark, str(tree), **bad)
+
+
+def test_names_are_folded(spark):
+    rows = [("a.py", "def straße():\n    pass\n\n\ndef Name():\n    pass\n".encode())]
+    snap = Snapshot.of_files(spark, spark.createDataFrame(rows, "path string, content binary"))
+    for query, name in (("strasse", "straße"), ("STRASSE", "straße"), ("Straße", "straße"), ("NAME", "Name"), ("a.py:STRASSE", "straße")):
+        assert [r.id for r in snap.lexical(query).where("exact").collect()] == [f"a.py:{name}"], query
+    assert "folded" not in snap.describe()["symbols"][0]
+
+
+def test_verbs_have_short_views(spark, tree):
+    service = EvidenceService(spark, str(tree))
+    short, full = service.tool("search_symbols", query="net price"), service.tool("search_symbols", detail="full", query="net price")
+    assert short["matches"] == full["matches"] and full["retrieval"] == "hybrid" and "presentation" not in full
+    assert short["presentation"]["detail"] == "compact" and {"full_detail", "scope"} <= short["presentation"].keys()
+    for bad in ({"verb": "nope"}, {"verb": "search_symbols", "detail": "other", "query": "x"}, {"verb": "search_symbols", "query": "x", "limit": True}, {"verb": "analyze_impact"}, {"verb": "compile_context", "symbols": ["a"], "max_tokens": 1}):
+        with pytest.raises(ValueError):
+            service.tool(**bad)
