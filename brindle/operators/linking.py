@@ -41,6 +41,10 @@ def link(calls: DataFrame, symbols: DataFrame, aliases: DataFrame) -> DataFrame:
     return named.join(qualified(symbols), "candidate").select("src", F.col("id").alias("dst")).distinct()
 
 
+#: Suffixes that a script's name may stand for.
+TYPED = (".ts", ".tsx", ".mts")
+
+
 def unique(rows: DataFrame, key: str, value: str, exact: Column) -> DataFrame:
     """(key, value): the exact match if there is one, else the only one; keys with several are dropped."""
     found = rows.groupBy(key).agg(F.min(F.when(exact, F.col(value))).alias("_exact"), F.count_distinct(value).alias("_n"), F.min(value).alias("_one"))
@@ -56,11 +60,17 @@ def resolve_modules(imports: DataFrame, files: DataFrame, suffixes: list[str]) -
     """(path, module, target): files that relative module names mean.
 
     ``imports`` has (path, module, base), base being the name joined to the
-    importing file's folder.  A file of exactly that name wins; else the base
-    with one of the suffixes, or its folder's index file, if there is just one.
+    importing file's folder.  A file of exactly that name wins; else, if there
+    is just one, what a script's name stands for in the typed language, or for a
+    name without a suffix the base with one, or its folder's index file.
     """
+    typed = [s for s in suffixes if s in TYPED]
     script = F.regexp_replace("base", r"\.(js|jsx|mjs)$", "")
-    options = F.array("base", *[F.concat(x, F.lit(s)) for s in suffixes for x in (F.col("base"), script)], *[F.concat("base", F.lit(f"/index{s}")) for s in suffixes])
+    bare = F.array("base", *[F.concat("base", F.lit(x + s)) for x in ("", "/index") for s in suffixes])
+    options = (
+        F.when(script != F.col("base"), F.array("base", *[F.concat(script, F.lit(s)) for s in typed]))
+        .when(F.col("base").rlike(r"\.(ts|tsx|mts)$"), F.array("base")).otherwise(bare)
+    )
     spread = imports.select("path", "module", "base", F.explode(F.array_distinct(options)).alias("target"))
     found = spread.join(files.select(F.col("path").alias("target")), "target", "left_semi")
     picked = found.withColumn("key", F.struct("path", "module"))

@@ -14,24 +14,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.python_units import unit
 from ..functions.text import casefold, folded
+from ..functions.web_units import SUFFIXES, web_unit
 from ..operators import cache, diff, linking, ranking
 from ..schemas import UNIT
 from ..sources.tree import capture, rejection
 from ..storage import stage, workers_import_this
 
 #: Units from another parser are not reused.
-PARSER = f"python:1:{platform.python_version()}"
+PARSER = f"python:1:{platform.python_version()};web:1"
 STORED = "path string, digest string, parser string, payload string, checksum string"
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Rows of ``schemas.UNIT`` for Python files (path, content)."""
+    """Rows of ``schemas.UNIT`` for source files (path, content)."""
     workers_import_this(files.sparkSession)
     arrow = to_arrow_schema(UNIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [unit(p, c or b"") for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [(unit if p.endswith(".py") else web_unit)(p, c or b"") for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             for r in rows:
                 r["aliases"] = list(r["aliases"].items())
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -56,11 +57,12 @@ class Snapshot:
         return cls.of_files(spark, capture(spark, root), units_at)
 
     @classmethod
-    def of_files(cls, spark: SparkSession, files: DataFrame, units_at: str | None = None) -> Snapshot:
+    def of_files(cls, spark: SparkSession, files: DataFrame, units_at: str | None = None, web: bool = True) -> Snapshot:
         """From rows (path, content, warning?); with ``units_at``, units stored there are reused.
 
         A store that can't be read or written is no error: all files are parsed
-        and a warning says so.
+        and a warning says so.  Without ``web``, files of TypeScript and
+        JavaScript are kept but not looked into, and a warning names them.
         """
         if "warning" not in files.columns:
             files = files.withColumn("warning", F.lit(None).cast("string"))
@@ -68,38 +70,50 @@ class Snapshot:
         warnings = [r.warning for r in judged.where("warning IS NOT NULL").orderBy("path").select("warning").collect()]
         warnings += [r.rejected for r in judged.where("rejected IS NOT NULL").orderBy("path").select("rejected").collect()]
         sources = stage(judged.where("content IS NOT NULL AND rejected IS NULL").select("path", "content", F.sha2("content", 256).alias("hash")), "sources")
-        python = sources.where(F.col("path").endswith(".py"))
-        units, indexing, problem = cls._units(spark, python, units_at)
-        warnings += [w for r in units.where(F.size("warnings") > 0).orderBy("path").select("warnings").collect() for w in r.warnings]
-        web = [r.path for r in sources.where(~F.col("path").endswith(".py")).select("path").orderBy("path").collect()]
-        if web:
-            warnings.append("TypeScript/JavaScript parsing unavailable; no parser is installed. Unindexed files: " + ", ".join(web))
+        python = F.col("path").endswith(".py")
+        units, indexing, problem = cls._units(spark, sources if web else sources.where(python), units_at)
+        warnings += [w for r in units.where(F.size("warnings") > 0).orderBy(~python, "path").select("warnings").collect() for w in r.warnings]
+        if not web and (left := [r.path for r in sources.where(~python).select("path").orderBy("path").collect()]):
+            warnings.append("TypeScript/JavaScript parsing unavailable; it is switched off. Unindexed files: " + ", ".join(left))
         if problem:
             warnings.append(problem)
         good = units.where("hash IS NOT NULL")
         symbols = stage(good.select(F.inline("symbols")).withColumn("folded", F.array(folded("id"), folded("name"))), "symbols")
         modules = linking.last_wins(good.select("module", "path", "aliases"), "module", "path", "aliases")
         aliases = modules.select("module", F.explode("aliases").alias("name", "target"))
-        edges = stage(linking.link(good.select(F.inline("calls")), symbols, aliases), "edges")
+        edges, missed = cls._linked(good, symbols, aliases)
+        warnings += [f"Unresolved calls ({r.unresolved}) in {r.symbol}; dynamic/type/JSX dispatch is not modeled" for r in missed.orderBy("symbol").collect()]
         return cls(spark, sources, symbols, edges, stage(good.select("path", "hash"), "hashes"), warnings, indexing)
 
     @staticmethod
-    def _units(spark: SparkSession, python: DataFrame, at: str | None) -> tuple[DataFrame, dict, str | None]:
+    def _linked(good: DataFrame, symbols: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Edges of all languages, and web-language symbols with their number of unresolved calls."""
+        edges = linking.link(good.select(F.inline("calls")), symbols, aliases)
+        web = stage(good.where("web IS NOT NULL").select("path", "web.*"), "web-units")
+        if web.isEmpty():
+            return stage(edges, "edges"), web.sparkSession.createDataFrame([], "symbol string, unresolved long")
+        modules = linking.resolve_modules(web.select("path", F.inline("imports")), web.select("path"), list(SUFFIXES))
+        unsafe = web.select("path", F.explode("unsafe").alias("name"))
+        more, missed = linking.link_web(web.select(F.inline("calls")), symbols, modules, web.select("path", F.inline("exports")), unsafe)
+        return stage(edges.union(more), "edges"), stage(missed, "unresolved")
+
+    @staticmethod
+    def _units(spark: SparkSession, files: DataFrame, at: str | None) -> tuple[DataFrame, dict, str | None]:
         if at is None:
-            return stage(parse(python), "units"), {}, None
+            return stage(parse(files), "units"), {}, None
         problem, stored = None, spark.createDataFrame([], STORED)
         try:
             stored = _pointer(spark, at) or stored
         except Exception as e:
             problem = f"The store of units can't be read ({type(e).__name__}); all files were parsed."
-        kept = cache.usable(stored, python, PARSER)
+        kept = cache.usable(stored, files, PARSER)
         reused = kept.select(F.from_json("payload", UNIT).alias("u")).select("u.*").where("path IS NOT NULL")
-        fresh = parse(cache.misses(python, reused))
+        fresh = parse(cache.misses(files, reused))
         units = stage(reused.unionByName(fresh), "units")
-        counts = cache.counters(stored.join(kept.select("path"), "path", "left_semi").select("path", F.col("digest").alias("hash")).unionByName(stored.join(python.select("path"), "path", "left_anti").select("path", F.col("digest").alias("hash"))), python.select("path", "hash")).first()
+        counts = cache.counters(stored.join(kept.select("path"), "path", "left_semi").select("path", F.col("digest").alias("hash")).unionByName(stored.join(files.select("path"), "path", "left_anti").select("path", F.col("digest").alias("hash"))), files.select("path", "hash")).first()
         if not problem and (counts.parsed or counts.removed):
             try:
-                payload = units.withColumn("payload", F.to_json(F.struct(*UNIT.names))).join(python.select("path", F.col("hash").alias("digest")), "path")
+                payload = units.withColumn("payload", F.to_json(F.struct(*UNIT.names))).join(files.select("path", F.col("hash").alias("digest")), "path")
                 _publish(spark, at, payload.select("path", "digest", F.lit(PARSER).alias("parser"), "payload", F.sha2("payload", 256).alias("checksum")))
             except Exception as e:
                 problem = f"The store of units can't be written ({type(e).__name__}); the evidence is fresh."

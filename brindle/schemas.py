@@ -20,12 +20,14 @@ EDGE = struct(src=_S, dst=_S)
 HASH = struct(path=_S, hash=_S)
 LESSON = struct(id=T.LongType(), scope=_S, lesson=_S, evidence=_S, evidence_hash=_S, scope_hash=_S, status=_S, created_at=_S)
 CALL = struct(symbol=_S, parts=T.ArrayType(_S), candidate=_S)
-#: What the parser finds in one Python file.
+#: A call of a web-language file: local, import or unresolved.
+WEB_CALL = struct(symbol=_S, kind=_S, name=_S, module=_S, export=_S)
+#: What only a web-language file has: calls, relative imports, exports and reassigned names.
+WEB = struct(calls=T.ArrayType(WEB_CALL), imports=T.ArrayType(struct(module=_S, base=_S)), exports=T.ArrayType(struct(export=_S, local=_S)), unsafe=T.ArrayType(_S))
+#: What is found in one source file.
 UNIT = struct(
     path=_S, hash=_S, module=_S, warnings=T.ArrayType(_S), aliases=T.MapType(_S, _S),
-    symbols=T.ArrayType(SYMBOL), calls=T.ArrayType(CALL),
+    symbols=T.ArrayType(SYMBOL), calls=T.ArrayType(CALL), web=WEB,
 )
-#: A call of a web-language file: local, import or unresolved.
-WEB_CALL = struct(symbol=_S, kind=_S, name=_S, module=_S, export=_S)
 HUNK = struct(path=_S, seq=_I, kind=_S, old_start=_I, old_count=_I, new_start=_I, new_count=_I)
 TRIAL = struct(task=_S, condition=_S, outcome=_S, input_tokens=T.LongType(), output_tokens=T.LongType(), cost=T.DoubleType())

@@ -46,8 +46,10 @@ def test_capture_and_link(spark, tree):
     paths = {r.path for r in snap.sources.select("path").collect()}
     assert paths == {*TREE, "broken.py", "a.ts", "_own.py"}
     assert edges(snap) == WANT
-    assert {w.split(":")[0] for w in snap.warnings} == {"Skipped symbolic link", "Skipped file larger than 1000000 bytes", "Cannot parse broken.py", "TypeScript/JavaScript parsing unavailable; no parser is installed. Unindexed files"}
-    assert {r.path for r in snap.hashes.collect()} == {*TREE, "_own.py"}
+    assert {w.split(":")[0] for w in snap.warnings} == {"Skipped symbolic link", "Skipped file larger than 1000000 bytes", "Cannot parse broken.py"}
+    assert {r.path for r in snap.hashes.collect()} == {*TREE, "_own.py", "a.ts"}
+    off = Snapshot.of_files(spark, snap.sources.select("path", "content"), web=False)
+    assert [w for w in off.warnings if w.startswith("TypeScript/JavaScript parsing unavailable")] and "a.ts" not in {r.path for r in off.hashes.collect()}
 
 
 def test_files_are_checked(spark):
