@@ -47,6 +47,8 @@ class Settings:
     chunk: int = 1 << 14
     #: Queries of an exact search that are sent to all tasks at once, about.
     block: int = 2048
+    #: Width up to which a pseudo-rotation is kept as a matrix.
+    narrow: int = 256
     #: Products of vectors that a task computes at once.
     slab: int = 1 << 15
     seed: int = 7
@@ -85,6 +87,8 @@ class Hashes:
         rng = np.random.Generator(np.random.PCG64(settings.seed))
         self.signs = rng.choice(np.array([-1.0, 1.0]), (settings.tables, shape.hashes, 3, shape.width))
         self.places = _places(shape.hashes, shape.probes, shape.axes)
+        # narrow vectors: the rounds are applied to the axes once, and a product with the result is faster than the rounds
+        self.narrow = [[self._rounds(np.eye(shape.width), t, k) for k in range(shape.hashes)] for t in range(settings.tables)] if shape.width <= settings.narrow else None
 
     def unit(self, x: np.ndarray, query: bool) -> np.ndarray:
         out = np.zeros((len(x), self.shape.width))
@@ -96,11 +100,14 @@ class Hashes:
             out[:, :d] = x / np.linalg.norm(x, axis=1)[:, None]
         return out
 
-    def rotated(self, x: np.ndarray, table: int, nth: int) -> np.ndarray:
+    def _rounds(self, x: np.ndarray, table: int, nth: int) -> np.ndarray:
         for signs in self.signs[table, nth]:
             x = hadamard(x * signs)
         return x
 
+    def rotated(self, x: np.ndarray, table: int, nth: int) -> np.ndarray:
+        return x @ self.narrow[table][nth] if self.narrow else self._rounds(x, table, nth)
+
     def buckets(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         """Per row, the first hash of its bucket and a number for the others."""
         codes = []
