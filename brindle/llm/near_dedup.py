@@ -69,7 +69,8 @@ STANDARD = Settings(words=5, percent=80, bands=40)
 class Hasher:
     """Shingle sets and buckets of texts; the same in every process."""
 
-    CACHE = 150_000
+    #: Words whose hashes a worker remembers before it starts afresh.
+    CACHE = 50_000
 
     def __init__(self, settings: Settings):
         self.settings = settings

@@ -27,8 +27,8 @@ from .runtime import text_or_empty, workers_import_this
 
 MARK = "▁"
 #: Entries of a generation of a worker's memory; it has two, and drops the older when the younger is full.
-#: 150,000 take some 175 MB a worker and 400,000 some 210 to 350 MB, for a quarter less time.
-REMEMBER = 150_000
+#: 50,000 take some 85 MB a worker, 150,000 some 175 MB for a quarter less time, 400,000 some 210 to 350 MB.
+REMEMBER = 50_000
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -69,7 +69,7 @@ class Backtracker:
             self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), None) for p in self.ids}
-        self.compatible = functools.lru_cache(1 << 18)(self._compatible)
+        self.compatible = functools.lru_cache(min(1 << 18, max(1 << 16, remember)))(self._compatible)
         self.reachable = functools.lru_cache(1 << 16)(lambda a: self.merged(a) == [a])
         self.halves = functools.lru_cache(1 << 16)(self._halves)
         self.joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}

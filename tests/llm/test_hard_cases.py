@@ -312,3 +312,24 @@ def test_nearest_looks_at_little(spark):
         assert looked[np.arange(len(q))[:, None], best].mean() >= 0.9
         share.append(looked.mean())
     assert share[1] < 0.8 * share[0] and share[1] < 0.25, share
+
+
+def test_rotations_of_narrow_vectors():
+    """The matrix of a pseudo-rotation does what its rounds do."""
+    x = np.random.default_rng(1).normal(size=(50, 32))
+    shape = nearest.Shape(32, 1.0, False, 50, 2, 8)
+    a, b = nearest.Hashes(shape, nearest.Settings()), nearest.Hashes(shape, nearest.Settings(narrow=0))
+    assert b.narrow is None and all(np.allclose(a.rotated(x, t, k), b.rotated(x, t, k)) for t in range(3) for k in range(2))
+
+
+@pytest.mark.parametrize("settings", [near_dedup.Settings(), near_dedup.STANDARD])
+def test_near_pairs_share_a_bucket_at_any_size(settings):
+    """The least similar pairs that are links, small sets (whose bins borrow much) as well as large ones."""
+    own, rng = near_dedup.Hasher(settings), np.random.default_rng(2)
+    for n in (4, 7, 10, 20, 50, 200):
+        found = [(i / (n + m - i), m, i) for m in range(n, 2 * n) for i in range(1, n + 1) if 100 * i >= settings.percent * (n + m - i)]
+        _, m, i = min(found)
+        for _ in range(200):
+            x = rng.integers(0, 1 << 63, n + m - i, dtype=np.uint64) * np.uint64(2)
+            a, b = np.unique(x[:n]), np.unique(np.concatenate([x[:i], x[n:]]))
+            assert np.intersect1d(own.buckets(a), own.buckets(b)).size
