@@ -13,6 +13,7 @@ repeat enough to be worth remembering (in a bounded cache per worker).
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import re
@@ -27,7 +28,7 @@ from .runtime import text_or_empty, workers_import_this
 
 MARK = "▁"
 #: Entries of a generation of a worker's memory; it has two, and drops the older when the younger is full.
-#: 50,000 take some 85 MB a worker, 150,000 some 175 MB for a quarter less time, 400,000 some 210 to 350 MB.
+#: 50,000 take some 120 MB a worker, 150,000 some 180 MB for a quarter less time, 400,000 the same and up to 350 MB.
 REMEMBER = 50_000
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -69,7 +70,7 @@ class Backtracker:
             self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), None) for p in self.ids}
-        self.compatible = functools.lru_cache(min(1 << 18, max(1 << 16, remember)))(self._compatible)
+        self.compatible = functools.lru_cache(1 << 18)(self._compatible)
         self.reachable = functools.lru_cache(1 << 16)(lambda a: self.merged(a) == [a])
         self.halves = functools.lru_cache(1 << 16)(self._halves)
         self.joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
@@ -188,9 +189,11 @@ class Backtracker:
             return text.split(" ")
         return [w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
 
-    def _word(self, word: str) -> tuple[str, str]:
+    def _word(self, word: str) -> str | tuple[str, str]:
+        """Decimal ids joined by commas; with the decoded text, where that is not the word after a space."""
         ids = self.encode_piece(MARK + word)
-        return ",".join(map(str, ids)), self.decode_piece(ids)
+        joined, decoded = ",".join(map(str, ids)), self.decode_piece(ids)
+        return joined if decoded == " " + word else (joined, decoded)
 
     def encode(self, text: str) -> list[int]:
         return list(map(int, self.round_trip(text)[0].split(","))) if text else []
@@ -199,8 +202,12 @@ class Backtracker:
         """Decimal ids joined by commas, and the text decoded from these ids."""
         if not text:
             return "", ""
-        words = list(map(self.kept.__getitem__, self.words(text)))
-        return ",".join([w[0] for w in words]), "".join([w[1] for w in words])[1:]
+        words = self.words(text)
+        found = list(map(self.kept.__getitem__, words))
+        with contextlib.suppress(TypeError):  # a pair among them
+            return ",".join(found), " ".join(words)
+        pairs = [(f, " " + w) if isinstance(f, str) else f for f, w in zip(found, words, strict=True)]
+        return ",".join([p[0] for p in pairs]), "".join([p[1] for p in pairs])[1:]
 
     def decode(self, ids: list[int]) -> str:
         text = self.decode_piece(ids)
