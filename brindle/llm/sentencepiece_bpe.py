@@ -28,7 +28,7 @@ from .runtime import text_or_empty, workers_import_this
 
 MARK = "▁"
 #: Entries of a generation of a worker's memory; it has two, and drops the older when the younger is full.
-#: 50,000 take some 120 MB a worker, 150,000 some 180 MB for a quarter less time, 400,000 the same and up to 350 MB.
+#: 50,000 take some 120 MB a worker, 150,000 some 180 MB for a quarter less time, 400,000 up to 350 MB.
 REMEMBER = 50_000
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
