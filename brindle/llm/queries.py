@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dedup, nearest, secret_scan, sentencepiece_bpe, shard_store, source_mix, url_filter, warc
+from . import exact_dedup, language_id, near_dedup, nearest, secret_scan, sentencepiece_bpe, shard_store, source_mix, url_filter, vector_codes, warc
 from .runtime import scratch, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -116,6 +116,17 @@ def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_store.compacted(spark, table(spark, sf_dir, "documents"), scratch(spark, "shards"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, and a digest of the codebooks.
+
+    Null vectors and those with null or non-finite components are left out; repeated
+    rows repeat; null labels share a sum; fewer than 16 keys give as many entries; no
+    vectors give no rows.
+    """
+    coded = vector_codes.compress(spark, table(spark, sf_dir, "embeddings"))
+    return coded.rows.withColumn("codebooks_sha256", F.lit(coded.sha256))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -184,8 +195,37 @@ FROM sized JOIN stays USING (text_sha256)
 """
 
 
+def vector_code_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """The rounds written out, each as the nearest entry of every part and the entries' new components."""
+    book = """
+book{n} AS (
+  SELECT p, e, list(c ORDER BY i) AS b FROM (
+    SELECT o.p, o.e, i, CASE WHEN m.n IS NULL THEN o.b[i] ELSE CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT) END AS c
+    FROM (SELECT p, e, b, unnest(range(1, len(b) + 1)) AS i FROM book{o}) o LEFT JOIN sums{o} m USING (p, e, i)
+  ) GROUP BY p, e
+)"""
+    near = """
+near{n} AS MATERIALIZED (
+  SELECT r, p, x, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT r, p, e, x, list_sum([(u[1] - u[2]) * (u[1] - u[2]) FOR u IN list_zip(x, b)])::BIGINT AS d FROM cut JOIN book{n} USING (p)) GROUP BY r, p, x
+), sums{n} AS MATERIALIZED (SELECT p, e, i, count(*) AS n, sum(x[i]) AS s FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM near{n}) GROUP BY p, e, i)"""
+    steps = [near.format(n=0)]
+    for k in range(1, rounds + 1):
+        steps += [book.format(n=k, o=k - 1).replace(f"book{k} AS", f"book{k} AS MATERIALIZED"), near.format(n=k)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])
+), cut AS MATERIALIZED (SELECT r, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM (SELECT r, v, unnest(range({parts})) AS p FROM kept)),
+book0 AS (SELECT p, r - 1 AS e, x AS b FROM cut WHERE r <= {entries}),{",".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r) CROSS JOIN books"""
+
+
 COMPACTION = "SELECT doc_id, lang, source, sha256(text) AS text_sha256, true AS listed FROM documents"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_compaction": COMPACTION, "op1_warc": WARC, "op4_exact_dedup": EXACT_DEDUP, "op8_mix": MIX}
+    return {"op10_compaction": COMPACTION, "op12_vector_codes": vector_code_sql(), "op1_warc": WARC, "op4_exact_dedup": EXACT_DEDUP, "op8_mix": MIX}
