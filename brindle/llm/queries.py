@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dedup, nearest, secret_scan, sentencepiece_bpe, shard_store, source_mix, url_filter, vector_codes, warc
+from . import exact_dedup, language_id, license_scan, near_dedup, nearest, secret_scan, sentencepiece_bpe, shard_store, source_mix, url_filter, vector_codes, warc
 from .runtime import scratch, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -116,6 +116,15 @@ def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_store.compacted(spark, table(spark, sf_dir, "documents"), scratch(spark, "shards"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license blocks of every document.
+
+    Null and empty texts have no words, no places and empty labels; texts are scanned
+    whole; repeated rows repeat; no documents give no rows.
+    """
+    return license_scan.summarised(license_scan.scan(spark, table(spark, sf_dir, "documents")))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code and error of every vector, and a digest of the codebooks.
 
