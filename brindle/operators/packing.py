@@ -90,6 +90,26 @@ def pack(sections: DataFrame, header_bytes: int, budget: int, reserve: int = 0)
     return _placed(rows, kept, header_bytes, "kept", "used")
 
 
+def pack_each(sections: DataFrame, group: str, header_bytes: int, budget: int) -> DataFrame:
+    """As ``pack``, for many short lists at once: adds ``kept`` and ``used`` to the sections (pos, bytes) of each group.
+
+    A group is one row while it is folded, so its sections must be few, as the
+    best of a search are; they carry no texts.  There are no seeds and no reserve.
+    """
+    others = [c for c in sections.columns if c not in (group, "pos")]
+    listed = sections.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", *others))).alias("s"))
+    start = F.struct(F.lit(header_bytes).cast("long").alias("used"), F.array().cast("array<struct<kept:boolean,used:bigint>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        after = acc["used"] + x["bytes"].cast("long")
+        fits = F.coalesce(F.ceil(after / 3) <= budget, F.lit(False))
+        used = F.when(fits, after).otherwise(acc["used"])
+        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(fits.alias("kept"), used.alias("used")))).alias("out"))
+
+    folded = listed.select(group, F.arrays_zip("s", F.aggregate("s", start, step)["out"].alias("out")).alias("z"))
+    return folded.select(group, F.inline("z")).select(group, "s.*", "out.*")
+
+
 def reserved(notes: DataFrame, limit: int) -> DataFrame:
     """Per note (pos, id, cost): whether it is in the reserve of ``limit``, and the reserve so far."""
     rows = notes.select(F.col("pos").cast("long").alias("pos"), F.col("id").cast("string").alias("id"), F.col("cost").cast("long").alias("cost"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,10 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def in_one_process(spark: SparkSession) -> bool:
+    """Whether driver and executors are this process, so that they share its folders."""
+    return re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """What the cluster names in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """The folder that driver and executors share: what the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a session in one process gets a temporary folder, once;
+    a cluster is an error, as its executors would not see a folder of the driver's.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.brindle.shared.dir", None)
     if not named:
+        if not in_one_process(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = Path(tempfile.mkdtemp(prefix="brindle-")).as_uri()
         spark.conf.set("spark.brindle.shared.dir", named)
     return named.rstrip("/")
@@ -41,9 +54,18 @@ def ordinal(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
 
 
 def workers_import_this(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver found it."""
-    root = str(Path(__file__).resolve().parents[1])
-    env = spark.sparkContext.environment
-    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in known:
-        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+    """Let Python workers import this package, wherever the driver found it.
+
+    Workers on the driver's machine see its files; a cluster's executors get the
+    package as an archive, once a session.
+    """
+    root, package = Path(__file__).resolve().parents[1], __package__.split(".")[0]
+    if spark.conf.get("spark.master", "").startswith("local"):
+        env = spark.sparkContext.environment
+        known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if str(root) not in known:
+            env["PYTHONPATH"] = os.pathsep.join([str(root), *known])
+    elif not spark.conf.get("spark.brindle.shipped", None):
+        folder = tempfile.mkdtemp(prefix="brindle-")  # the driver serves the archive
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package}", "zip", root, package))
+        spark.conf.set("spark.brindle.shipped", "true")
