@@ -2,8 +2,9 @@
 
 A byte-pair vocabulary spends few tokens on text like that it was made from and
 many on random strings.  A run of key characters with few characters per token
-is reported, unless it has the form of a known digest or identifier.  So is what
-is random within a run: a part between ``/ = - _ +``, or a window.
+is reported.  Digests, UUIDs and numbers are known forms: they are cut out of a
+run first, and each stretch between them is judged as a run of its own, whole and
+by what is random within it: a part between ``/ = - _ +``, or a window.
 """
 
 from __future__ import annotations
@@ -34,6 +35,13 @@ DIGEST_LENGTHS = frozenset({32, 40, 48, 56, 64, 96, 128})
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
+#: Known forms within a run, with a joint or an end of the run on both sides: UUIDs, digests, and numbers
+#: of two parts or more (dates, times, versions) or of ``LEAST_DIGITS``.
+KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:" + UUID.pattern.replace("[0-9a-f]", "[0-9A-Fa-f]") + "|" + "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in sorted(DIGEST_LENGTHS))
+    + r"|(?P<number>[vV]?[0-9]+(?:[-_/+=T]+[0-9]+)*Z?))(?![A-Za-z0-9])"
+)
+LEAST_DIGITS = 4
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Words of letters, each with digits at its end at most: names, paths, slugs.
 WORDS = re.compile(r"[/_=+-]*(?:[A-Za-z][a-z]{2,}[0-9]{0,4}(?:[/_=+-]+|(?=[A-Z])|$))+|[A-Z]+(?:_[A-Z]+)*|[a-z]+")
@@ -95,31 +103,47 @@ def random_spans(text: str, test: TokenEfficiency, taken: list[tuple[int, int, s
     for m in RUN.finditer(text):
         if is_known_form(m[0]) or inside(*m.span()):
             continue
-        spans = [(m.start() + i, m.start() + j) for i, j in random_parts(m[0], test)]
-        found += [(a, b, "random") for a, b in spans if not inside(a, b)]
+        for at, stretch in stretches(m[0], min(test.windows)):
+            spans = [(m.start() + at + i, m.start() + at + j) for i, j in random_parts(stretch, test)]
+            found += [(a, b, "random") for a, b in spans if not inside(a, b)]
     return found
 
 
+def stretches(run: str, least: int) -> Iterator[tuple[int, str]]:
+    """What is left of a run without its known forms, from ``least`` characters on, and where it begins; joints beside a cut go with it."""
+    at = 0
+    for m in KNOWN.finditer(run):
+        if m["number"] and len(m["number"].strip("vVZ")) < LEAST_DIGITS and m["number"].strip("vVZ").isdigit():
+            continue
+        yield from _trimmed(run, at, m.start(), at > 0, True, least)
+        at = m.end()
+    yield from _trimmed(run, at, len(run), at > 0, False, least)
+
+
+def _trimmed(run: str, a: int, b: int, left: bool, right: bool, least: int) -> Iterator[tuple[int, str]]:
+    while left and a < b and not run[a].isalnum():
+        a += 1
+    while right and a < b and not run[b - 1].isalnum():
+        b -= 1
+    if b - a >= least:
+        yield a, run[a:b]
+
+
 def random_parts(run: str, test: TokenEfficiency) -> list[tuple[int, int]]:
-    """The whole run if it is random, else what is random in it: parts and windows, joined where they overlap.
+    """A stretch, if it is random, else what is random in it: parts and windows, joined where they overlap.
 
     Letters and digits between two joints are a part.  Tokens of joints don't
-    count in parts and windows, and no window goes over a known form.  A run of
-    words, or without a letter or a digit, is judged by its parts and windows only.
+    count in parts and windows.  A stretch of words, or without a letter or a
+    digit, is judged by its parts and windows only.
     """
     encode = _encoding(test.rank_file, test.pattern).encode_ordinary
     if re.search("[0-9]", run) and re.search("[A-Za-z]", run) and not WORDS.fullmatch(run):
         pieces = [run[i : i + test.window] for i in range(0, len(run), test.window)]
         if len(run) < test.chars_per_token * sum(len(encode(p)) for p in pieces):
             return [(0, len(run))]
-    known = [u.span() for u in UUID.finditer(run) if not (run[u.start() - 1 : u.start()].isalnum() or run[u.end() : u.end() + 1].isalnum())]
     spans, stretch = [], []
     for part in PART.finditer(run):
         a, b = part.span()
-        if any(i <= a and b <= j for i, j in known) or part[0].isdigit() and b - a >= 4 or is_known_form(part[0]) and not part[0].isdigit():
-            spans += _windows(stretch, test)
-            stretch = []
-            continue
         tokens = _tokens(part[0], a, test)
         if b - a >= min(test.windows) and b - a < test.chars_per_token * len(tokens):
             spans.append((a, b))
