@@ -2,6 +2,10 @@
 
 A lesson cites a scope and an evidence file with the digests both had.  It is
 stale once either digest is no longer the live one; that is computed on read.
+
+Freshness and eligibility are joins by scope and evidence, and a scope may have
+very many lessons.  Over large tables texts don't belong into them: ``narrow``
+takes from a lesson's text what is needed later, in the task that reads it.
 """
 
 from __future__ import annotations
@@ -22,6 +26,16 @@ def scope_path(scope: str = "scope") -> Column:
     return F.substring_index(F.col(scope), ":", 1)
 
 
+def narrow(lessons: DataFrame, **needed: Column) -> DataFrame:
+    """The lessons with, instead of their text, whether it is ``blank`` and the columns ``needed`` of it."""
+    taken = [c.alias(n) for n, c in ({"blank": is_blank()} | needed).items()]
+    return lessons.select(*[c for c in lessons.columns if c != "lesson"], *taken)
+
+
+def is_blank() -> Column:
+    return F.trim(F.coalesce("lesson", F.lit(""))) == ""
+
+
 def with_freshness(lessons: DataFrame, hashes: DataFrame, path: Column | None = None) -> DataFrame:
     """Add ``stale``: a missing file, or another digest than the saved one."""
     live = hashes.select("path", "hash")
@@ -33,11 +47,15 @@ def with_freshness(lessons: DataFrame, hashes: DataFrame, path: Column | None =
 
 
 def eligible(lessons: DataFrame, symbols: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Confirmed lessons, said to be fresh, whose scope is a symbol and whose digests are those captured."""
+    """Confirmed lessons, said to be fresh and not blank, whose scope is a symbol and whose digests are those captured.
+
+    Takes lessons with their texts or ``narrow`` ones.
+    """
+    blank = F.col("blank") if "blank" in lessons.columns else is_blank()
     known = symbols.select(F.col("id").alias("scope"), F.col("path").alias("_path"))
     live = hashes.select("path", "hash").where(F.col("hash").isNotNull())
     return (
-        lessons.where((F.col("status") == "confirmed") & ~F.coalesce("stale", F.lit(True)) & F.col("id").isNotNull() & (F.trim(F.coalesce("lesson", F.lit(""))) != ""))
+        lessons.where((F.col("status") == "confirmed") & ~F.coalesce("stale", F.lit(True)) & F.col("id").isNotNull() & ~blank)
         .join(known, "scope")
         .join(live.select(F.col("path").alias("_path"), F.col("hash").alias("scope_hash")), ["_path", "scope_hash"], "left_semi")
         .join(live.select(F.col("path").alias("evidence"), F.col("hash").alias("evidence_hash")), ["evidence", "evidence_hash"], "left_semi")

@@ -166,25 +166,38 @@ _LESSONS = """lessons AS (
 ), eligible AS (SELECT * FROM fresh WHERE status = 'confirmed' AND NOT stale AND trim(lesson) <> '')"""
 
 
-def lesson_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Labelled documents as lessons about their source, live hashes, and sources as symbols."""
-    docs = t(spark, sf_dir, "documents")
-    rows = docs.join(t(spark, sf_dir, "labels"), "doc_id").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("scope"), F.col("text").alias("lesson"), F.col("doc_id").cast("string").alias("evidence"),
-        digest(F.when(F.col("lang") == "de", F.lower("text")).otherwise(F.col("text"))).alias("evidence_hash"),
+def lesson_tables(spark: SparkSession, sf_dir: str, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labelled documents as lessons about their source, live hashes, and sources as symbols.
+
+    A document's digests, sizes and, where asked for, frequencies of ``terms``
+    are taken in one pass over the texts; nothing after that has a text.
+    """
+    docs = t(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("lesson"), digest(F.col("text")).alias("hash"), digest(F.when(F.col("lang") == "de", F.lower("text")).otherwise(F.col("text"))).alias("evidence_hash"))
+    needed = lessons.narrow(docs.withColumn("text", F.col("lesson")), cost=token_estimate(F.col("lesson")), bytes=F.octet_length("lesson"))
+    kept = [c for c in needed.columns if c != "text"]
+    slim = stage(ranking.frequencies(needed, {"body": F.col("text")}, terms, kept) if terms else needed.select(*kept), "lesson-texts")
+    counted = [c for c in slim.columns if c.startswith("body_")]
+    rows = slim.join(t(spark, sf_dir, "labels"), "doc_id").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("scope"), F.col("doc_id").cast("string").alias("evidence"), "evidence_hash",
         digest(F.when(F.col("source") == "src3", F.lit("old")).otherwise(F.col("source"))).alias("scope_hash"),
-        F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "confirmed").otherwise("proposed").alias("status"),
+        F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "confirmed").otherwise("proposed").alias("status"), "blank", "cost", "bytes", *counted,
     )
-    sources = docs.where("source IS NOT NULL").groupBy("source").agg(F.lit(1)).select(F.col("source").alias("path"), digest(F.col("source")).alias("hash"))
-    hashes = docs.select(F.col("doc_id").cast("string").alias("path"), digest(F.col("text")).alias("hash")).unionByName(sources)
+    sources = stage(slim.where("source IS NOT NULL").groupBy("source").agg(F.lit(1)).select(F.col("source").alias("path"), digest(F.col("source")).alias("hash")), "lesson-sources")
+    hashes = slim.select(F.col("doc_id").cast("string").alias("path"), "hash").unionByName(sources)
     return rows, hashes, sources.select(F.col("path").alias("id"), "path")
 
 
-def eligible_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, hashes, symbols = lesson_tables(spark, sf_dir)
+def eligible_notes(spark: SparkSession, sf_dir: str, terms: list[str] | None = None) -> DataFrame:
+    rows, hashes, symbols = lesson_tables(spark, sf_dir, terms)
     return lessons.eligible(lessons.with_freshness(rows, hashes), symbols, hashes)
 
 
+def note_signals(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    terms = ranking.query_terms(spark, query)
+    notes = eligible_notes(spark, sf_dir, terms)
+    return ranking.signals_of(notes.select("scope", "id", *[c for c in notes.columns if c.startswith("body_")]), len(terms))
+
+
 @query(f"WITH {_LESSONS} SELECT id, scope, status, stale FROM fresh")
 def lesson_freshness(spark, sf_dir):
     rows, hashes, _ = lesson_tables(spark, sf_dir)
@@ -205,7 +218,7 @@ signal AS (
 
 @query(f"WITH {_SIGNAL} SELECT scope, round(memory, 6) AS memory, lesson_ids FROM signal")
 def memory_signal(spark, sf_dir):
-    signal = ranking.note_signals(eligible_notes(spark, sf_dir), QUERY)
+    signal = note_signals(spark, sf_dir, QUERY)
     return signal.select("scope", F.round("memory", 6).alias("memory"), F.array_join(F.col("lesson_ids").cast("array<string>"), ",").alias("lesson_ids"))
 
 
@@ -220,7 +233,7 @@ def hybrid_search_sources(spark, sf_dir):
     counted = ranking.frequencies(docs, {"body": F.col("text")}, terms, ["source"])
     summed = counted.groupBy(F.col("source").alias("id")).agg(*[F.sum(c).alias(c) for c in counted.columns if c != "source"])
     scored = ranking.with_statistics(stage(summed, "source-frequencies"), ["body"], len(terms)).select("id", F.lit(False).alias("exact"), ranking.bm25("body", len(terms)).alias("lexical")).where("lexical <> 0")
-    rows = ranking.hybrid(scored, ranking.note_signals(eligible_notes(spark, sf_dir), QUERY))
+    rows = ranking.hybrid(scored, note_signals(spark, sf_dir, QUERY))
     return rows.select(F.col("id").alias("source"), *[F.round(c, 6).alias(c) for c in ("score", "lexical_normalized", "memory")])
 
 
@@ -233,7 +246,7 @@ def hybrid_search_documents(spark, sf_dir):
     """Documents, with the note signal of their source."""
     docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("scope"))
     rows = ranking.lexical(docs, QUERY, {"body": F.col("text")}, keep=("scope",))
-    mixed = ranking.hybrid_by_scope(rows, ranking.note_signals(eligible_notes(spark, sf_dir), QUERY), "scope")
+    mixed = ranking.hybrid_by_scope(rows, note_signals(spark, sf_dir, QUERY), "scope")
     return ranking.top(mixed, 50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.round("memory", 6).alias("memory"))
 
 
@@ -366,7 +379,7 @@ def notes_of_sections(spark: SparkSession, sf_dir: str, parts: DataFrame) -> Dat
     from pyspark.sql import Window
 
     found = eligible_notes(spark, sf_dir).join(F.broadcast(parts.select(F.col("id").alias("evidence"))), "evidence")
-    return found.select(F.row_number().over(Window.orderBy("id")).alias("pos"), F.col("id").cast("string").alias("id"), token_estimate(F.col("lesson")).alias("cost"), F.octet_length("lesson").alias("bytes"))
+    return found.select(F.row_number().over(Window.orderBy("id")).alias("pos"), F.col("id").cast("string").alias("id"), "cost", "bytes")
 
 
 @query(f"WITH RECURSIVE {_NOTES} SELECT pos, id, reserved, total AS sum FROM held WHERE pos > 0")
