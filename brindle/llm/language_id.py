@@ -9,7 +9,6 @@ own sample has.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import named, workers_import_this
+from .runtime import held, named, workers_import_this
 
 UNDETERMINED = "und"
 
@@ -60,9 +59,8 @@ class Model:
         return self.languages[self.owner[at]], score, score < self.threshold[self.owner[at]]
 
 
-@functools.lru_cache(1)
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return held(("letters",), lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
 def ngram_counts(text: str | None, settings: Settings) -> tuple[np.ndarray, np.ndarray] | None:

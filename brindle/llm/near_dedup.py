@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import located, materialize, of_row, settings_of, workers_import_this
+from .runtime import held, located, materialize, of_row, settings_of, workers_import_this
 
 
 @dataclass(frozen=True)
@@ -123,13 +123,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_HASHERS: dict[Settings, Hasher] = {}
-
-
 def hasher(settings: Settings) -> Hasher:
-    if settings not in _HASHERS:
-        _HASHERS[settings] = Hasher(settings)
-    return _HASHERS[settings]
+    return held(("near", settings), lambda: Hasher(settings))
 
 
 def features(at: DataFrame, settings: Settings, key: str, text: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -76,6 +77,22 @@ def workers_import_this(spark: SparkSession) -> None:
         spark.conf.set("spark.brindle.shipped", "true")
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task, one thing at a time.
+
+    Spark gives a worker to whatever stage runs next, so a memory of one
+    operator would stay with it while another has its own.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 @contextlib.contextmanager
 def settings_of(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings (dots written as ``__``) for what is computed inside, put back afterwards."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import text_or_empty, workers_import_this
+from .runtime import held, text_or_empty, workers_import_this
 
 MARK = "▁"
 #: Entries of a generation of a worker's memory; it has two, and drops the older when the younger is full.
@@ -242,9 +242,8 @@ class _Kept(dict):
         return value
 
 
-@functools.lru_cache(2)
 def _model(model_file: str, remember: int) -> Backtracker:
-    return Backtracker(model_file, remember)
+    return held(("sentencepiece", model_file, remember), lambda: Backtracker(model_file, remember))
 
 
 def encode(df: DataFrame, model_file: str, text: str = "text", out: str = "ids") -> DataFrame:
