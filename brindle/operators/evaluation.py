@@ -114,23 +114,3 @@ def rotated(tasks: DataFrame, conditions: tuple[str, ...] = CONDITIONS) -> DataF
     listed = F.array(*map(F.lit, conditions))
     turned = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at(listed, ((i + F.col("offset")) % n + 1).cast("int")))
     return tasks.select("task", F.posexplode(turned).alias("seq", "condition"))
-
-
-def log_outcome(lines: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
-    """Per log of JSON lines (log, line): what became of it.
-
-    ``malformed`` if a line is no object with a type, ``contaminated`` if any
-    type isn't allowed, ``incomplete`` unless exactly one turn completed, else
-    ``complete`` with its tokens.
-    """
-    e = F.from_json("line", "type string, usage struct<input_tokens:bigint,output_tokens:bigint>, item struct<type:string>")
-    rows = lines.withColumn("e", e).where(F.trim("line") != "")
-    done = F.col("e.type") == "turn.completed"
-    found = rows.groupBy("log").agg(
-        F.coalesce(F.bool_or(F.col("e.type").isNull()), F.lit(False)).alias("bad"),
-        F.coalesce(F.bool_or(~F.col("e.type").isin(*allowed) | ~F.coalesce("e.item.type", F.lit("agent_message")).isin("agent_message", "reasoning")), F.lit(False)).alias("foreign"),
-        F.count_if(done).alias("turns"),
-        F.max(F.when(done, F.col("e.usage.input_tokens"))).alias("input_tokens"), F.max(F.when(done, F.col("e.usage.output_tokens"))).alias("output_tokens"),
-    )
-    outcome = F.when(F.col("bad"), "malformed").when(F.col("foreign"), "contaminated").when(F.col("turns") != 1, "incomplete").otherwise("complete")
-    return found.select("log", outcome.alias("outcome"), "input_tokens", "output_tokens")

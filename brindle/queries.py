@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import STOPWORDS, digest, token_estimate, tokens
 from .functions.tokenizer import distinct_tokens
-from .operators import diff, evaluation, graph, lessons, linking, packing, ranking
+from .operators import diff, evaluation, event_logs, graph, lessons, linking, packing, ranking
 from .storage import stage, workers_import_this
 
 QUERY = "der que erst"
@@ -628,3 +628,79 @@ def mean_reciprocal_rank(spark, sf_dir):
 @query("SELECT event_type, median(value) AS median FROM events GROUP BY event_type")
 def median_value(spark, sf_dir):
     return t(spark, sf_dir, "events").groupBy("event_type").agg(F.median("value").alias("median"))
+
+
+# event logs
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as logs of events (log, seq, line), most of them with something wrong, by their number.
+
+    An assistant's turn proposes its text as the content of a file; a log ends
+    with its completed turn.
+    """
+    turns = t(spark, sf_dir, "conversations")
+    case = F.col("conv_id") % 9
+    edit = lambda path, content, *more: F.struct(F.lit(path).alias("path"), content.alias("content"), *more)
+    text = F.coalesce("text", F.lit(""))
+    two = F.when(case == 4, F.to_json(F.struct(F.array(edit("a.py", text), edit("a.py", F.col("role"))).alias("edits")))).when(
+        case == 7, F.to_json(F.struct(F.array(edit("a.py", text, F.lit(1).alias("mode"))).alias("edits")))
+    ).otherwise(F.to_json(F.struct(F.array(edit("a.py", text), edit("b.py", F.col("role"))).alias("edits"))))
+    message = F.to_json(F.struct(F.lit("item.completed").alias("type"), F.struct(F.lit("agent_message").alias("type"), two.alias("text")).alias("item")))
+    line = F.when(F.col("role") == "assistant", message).when(F.col("role") == "system", F.lit('{"type": "thread.started"}')).otherwise(F.lit('{"type": "turn.started"}'))
+    said = turns.select(F.col("conv_id").alias("log"), F.col("turn").alias("seq"), line.alias("line"))
+
+    counts = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    n = F.col("n")
+    usage = F.when(case == 6, F.lit('{"input_tokens": true, "cached_input_tokens": 2.0, "output_tokens": "7", "reasoning_output_tokens": -1}')).otherwise(
+        F.format_string('{"input_tokens": %d, "cached_input_tokens": %d, "output_tokens": %d}', 10 * n, F.when(case == 1, 11 * n).otherwise(n), n * n)
+    )
+    done = F.concat(F.lit('{"type": "turn.completed", "usage": '), usage, F.lit("}"))
+    extra = F.when(case == 2, '{"type": "item.started", "item": {"type": "command_execution"}}').when(case == 5, '{"type": "turn.').when(case == 8, '{"type": "turn.failed"}')
+    ends = counts.select(F.col("conv_id").alias("log"), F.lit(10**6).cast("long").alias("seq"), F.when(case != 3, done).alias("line"))
+    extras = counts.select(F.col("conv_id").alias("log"), F.lit(10**6 + 1).cast("long").alias("seq"), extra.alias("line"))
+    return said.unionByName(ends).unionByName(extras)
+
+
+_LOGS = """WITH turns AS (SELECT *, conv_id % 9 AS m, coalesce(text, '') AS x FROM conversations), said AS (
+  SELECT conv_id AS log, turn AS seq, CASE role WHEN 'assistant' THEN CAST(json_object('type', 'item.completed', 'item', json_object('type', 'agent_message', 'text', CAST(CASE m
+      WHEN 4 THEN json_object('edits', json_array(json_object('path', 'a.py', 'content', x), json_object('path', 'a.py', 'content', role)))
+      WHEN 7 THEN json_object('edits', json_array(json_object('path', 'a.py', 'content', x, 'mode', 1)))
+      ELSE json_object('edits', json_array(json_object('path', 'a.py', 'content', x), json_object('path', 'b.py', 'content', role))) END AS VARCHAR))) AS VARCHAR)
+    WHEN 'system' THEN '{"type": "thread.started"}' ELSE '{"type": "turn.started"}' END AS line FROM turns
+), counts AS (SELECT conv_id AS log, m, count(*) AS n FROM turns GROUP BY ALL
+), lines AS (
+  SELECT * FROM said
+  UNION ALL SELECT log, 1000000, CASE WHEN m <> 3 THEN '{"type": "turn.completed", "usage": ' || CASE m
+    WHEN 6 THEN '{"input_tokens": true, "cached_input_tokens": 2.0, "output_tokens": "7", "reasoning_output_tokens": -1}'
+    ELSE printf('{"input_tokens": %d, "cached_input_tokens": %d, "output_tokens": %d}', 10 * n, CASE m WHEN 1 THEN 11 * n ELSE n END, n * n) END || '}' END FROM counts
+  UNION ALL SELECT log, 1000001, CASE m WHEN 2 THEN '{"type": "item.started", "item": {"type": "command_execution"}}' WHEN 5 THEN '{"type": "turn.' WHEN 8 THEN '{"type": "turn.failed"}' END FROM counts
+), events AS (
+  SELECT log, seq, json_valid(line) AS valid, CASE WHEN json_valid(line) THEN CAST(line AS JSON) END AS e FROM lines WHERE line IS NOT NULL
+), kinds AS (
+  SELECT *, coalesce(json_type(e) = 'OBJECT', false) AS object, json_extract_string(e, '$.type') AS kind, json_extract_string(e, '$.item.type') AS item FROM events
+), logs AS (
+  SELECT log, bool_or(NOT object OR kind NOT IN ('thread.started', 'turn.started', 'turn.completed', 'turn.failed', 'error', 'item.started', 'item.updated', 'item.completed')) AS strange,
+    coalesce(bool_or(kind LIKE 'item.%' AND item NOT IN ('reasoning', 'agent_message')), false) AS foreign_, count(*) FILTER (kind = 'turn.completed') AS turns,
+    bool_or(kind IN ('turn.failed', 'error')) AS failed, any_value(json_extract(e, '$.usage')) FILTER (kind = 'turn.completed') AS usage,
+    arg_max(json_extract_string(e, '$.item.text'), seq) FILTER (kind = 'item.completed') AS message
+  FROM kinds GROUP BY log
+), counted AS (
+  SELECT *, [CASE WHEN json_type(usage, '$.' || c) IN ('UBIGINT', 'BIGINT') AND CAST(json_extract(usage, '$.' || c) AS BIGINT) >= 0 THEN CAST(json_extract(usage, '$.' || c) AS BIGINT) END
+    FOR c IN ['input_tokens', 'cached_input_tokens', 'output_tokens', 'reasoning_output_tokens']] AS u, CAST(json_extract(message, '$.edits') AS JSON[]) AS edits FROM logs
+), judged AS (
+  SELECT *, CASE WHEN strange THEN 'invalid_trace' WHEN coalesce(u[2] > u[1], false) THEN 'invalid_usage' WHEN foreign_ THEN 'tool_contamination' WHEN turns <> 1 OR failed THEN 'provider_error'
+    WHEN message IS NULL OR list_bool_or([len(json_keys(r)) <> 2 FOR r IN edits]) OR len(edits) <> len(list_distinct([json_extract_string(r, '$.path') FOR r IN edits])) THEN 'invalid_candidate' ELSE 'ok' END AS status FROM counted
+)
+SELECT log, status, status NOT IN ('invalid_trace', 'invalid_usage') AND usage IS NOT NULL AS has_usage,
+  coalesce(CASE WHEN status NOT IN ('invalid_trace', 'invalid_usage') THEN u[1] END, -1) AS input_tokens, coalesce(CASE WHEN status NOT IN ('invalid_trace', 'invalid_usage') THEN u[2] END, -1) AS cached_input_tokens,
+  coalesce(CASE WHEN status NOT IN ('invalid_trace', 'invalid_usage') THEN u[3] END, -1) AS output_tokens, coalesce(CASE WHEN status NOT IN ('invalid_trace', 'invalid_usage') THEN u[4] END, -1) AS reasoning_output_tokens,
+  CASE WHEN status = 'ok' THEN sha256(array_to_string([json_extract_string(r, '$.path') || ':' || json_extract_string(r, '$.content') FOR r IN edits], chr(10))) END AS edits_sha256 FROM judged"""
+
+
+@query(_LOGS)
+def log_outcomes(spark, sf_dir):
+    """What became of each log; unknown counters are -1."""
+    found = event_logs.outcomes(log_lines(spark, sf_dir))
+    listed = F.array_join(F.transform("edits", lambda r: F.concat_ws(":", r["path"], r["content"])), "\n")
+    return found.select("log", "status", "has_usage", *[F.coalesce(c, F.lit(-1)).alias(c) for c in event_logs.COUNTERS], digest(listed).alias("edits_sha256"))

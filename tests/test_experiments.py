@@ -46,14 +46,6 @@ def test_usage():
     assert experiments.usage_of({}, 9)[0] is None
 
 
-def test_event_logs(spark):
-    done = '{"type":"turn.completed","usage":{"input_tokens":3,"output_tokens":4}}'
-    logs = {"good": ['{"type":"thread.started"}', done, ""], "tool": ['{"type":"item.completed","item":{"type":"command_execution"}}', done], "two": [done, done], "bad": ["{"], "none": ['{"type":"thread.started"}']}
-    rows = spark.createDataFrame([(k, x) for k, v in logs.items() for x in v], "log string, line string")
-    got = {r.log: (r.outcome, r.input_tokens) for r in evaluation.log_outcome(rows, ("thread.started", "turn.completed", "item.completed")).collect()}
-    assert got == {"good": ("complete", 3), "tool": ("contaminated", 3), "two": ("incomplete", 3), "bad": ("malformed", None), "none": ("incomplete", None)}
-
-
 def test_classified_and_calibrated(spark):
     rows = spark.createDataFrame([("a", -1, 1, None, 5, "passed"), ("b", 1, 9, None, 5, "passed"), ("c", None, None, None, 5, "passed")], "task string, input_tokens long, output_tokens long, cost double, output_limit int, outcome string")
     assert [r.outcome for r in evaluation.classified(rows).orderBy("task").collect()] == ["invalid_response", "token_limit", "passed"]
