@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from ..storage import stage
 
-# The outcomes that count as scored, and the pairs compared.
+# The outcomes that count as scored; the conditions of trials, the first four by default, and
+# what a trial's packet is made of: whole files or an investigation by a retrieval policy, and the note it is given;
+# the pairs of conditions whose scored trials are compared (baseline, contender).
 SCORED = ("passed", "test_failed", "timeout", "invalid_candidate")
-CONDITIONS = ("task_only", "lexical", "context", "fresh_memory", "stale_memory", "hybrid", "hybrid_fresh_memory", "hybrid_stale_memory")
-
-#: What a trial's packet is made of, and the note it is given: whole files, or an investigation by a retrieval policy.
 TREATMENTS = {
     "lexical": ("files", None), "graph": ("legacy", None), "memory": ("legacy", "fresh"), "stale_memory": ("legacy", "stale"),
     "hybrid": ("hybrid", None), "hybrid_memory": ("hybrid", "fresh"), "hybrid_stale_memory": ("hybrid", "stale"),
 }
+CONDITIONS = tuple(TREATMENTS)
+DEFAULT_CONDITIONS = CONDITIONS[:4]
+PAIRS = (
+    ("lexical", "graph"), ("graph", "memory"), ("graph", "stale_memory"), ("graph", "hybrid"), ("memory", "hybrid_memory"),
+    ("stale_memory", "hybrid_stale_memory"), ("hybrid", "hybrid_memory"), ("hybrid", "hybrid_stale_memory"),
+)
 
 
 def condition_summary(trials: DataFrame, scored: Column, passed: Column) -> DataFrame:
@@ -47,13 +52,6 @@ def outcome_histogram(trials: DataFrame) -> DataFrame:
     return trials.groupBy("condition", "outcome").agg(F.count("*").alias("n"))
 
 
-def classified(trials: DataFrame) -> DataFrame:
-    """A response's outcome: malformed usage first, then over the limit, else what it says."""
-    bad = (F.col("input_tokens") < 0) | (F.col("output_tokens") < 0) | (F.col("cost") < 0)
-    over = F.col("output_tokens") > F.col("output_limit")
-    return trials.withColumn("outcome", F.when(F.coalesce(bad, F.lit(False)), "invalid_response").when(F.coalesce(over, F.lit(False)), "token_limit").otherwise(F.col("outcome")))
-
-
 def pending(planned: DataFrame, done: DataFrame) -> DataFrame:
     """Planned trials (request_hash) that have no scored row: what a resumed run still does."""
     return planned.join(done.where(F.col("outcome").isin(*SCORED)).select("request_hash"), "request_hash", "left_anti")

@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 
 # The bounds of numbers, the choices, and the sizes of texts and lists.
-RANGES = {"limit": (1, 50), "depth": (0, 5), "max_depth": (0, 5), "max_tokens": (128, 32000), "max_steps": (2, 10), "max_seconds": (0.1, 120)}
+RANGES = {
+    "limit": (1, 50), "depth": (0, 5), "max_depth": (0, 5), "max_tokens": (128, 32000), "max_steps": (2, 10), "max_seconds": (0.1, 120),
+    "context_budget": (512, 32000), "output_budget": (128, 8192), "evidence_room": (128, 32000), "repetitions": (1, 10),
+}
 CHOICES = {"retrieval": ("hybrid", "legacy"), "detail": ("compact", "full")}
 MOST_CHARS, MOST_SYMBOLS = 2000, 20
 SELECTORS = ("task", "symbols", "ref")

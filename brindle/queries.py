@@ -576,7 +576,7 @@ def resume_pending(spark, sf_dir):
 _TURN = ", ".join(f"'{c}'" for c in evaluation.CONDITIONS)
 
 
-@query(f"SELECT n_name AS task, CAST(i AS INTEGER) AS seq, [{_TURN}][(i + n_nationkey) % 8 + 1] AS condition FROM nation, range(8) r(i)")
+@query(f"SELECT n_name AS task, CAST(i AS INTEGER) AS seq, [{_TURN}][(i + n_nationkey) % {len(evaluation.CONDITIONS)} + 1] AS condition FROM nation, range({len(evaluation.CONDITIONS)}) r(i)")
 def condition_rotation(spark, sf_dir):
     return evaluation.rotated(t(spark, sf_dir, "nation").select(F.col("n_name").alias("task"), F.col("n_nationkey").alias("offset")))
 

@@ -15,40 +15,77 @@ def suite(tmp_path):
     return tmp_path
 
 
+def answer(request, edits=None, **other):
+    return json.dumps({"schema_version": 1, "model": request["model"], "request_hash": request["request_hash"], "status": "ok", "edits": edits if edits is not None else {"a.py": "x"}, "usage": {"input_tokens": 5, "output_tokens": 1, "cost_usd": 0.5}} | other)
+
+
+def made(task, condition):
+    return experiments.stamped({"trial_id": f"{task.id}:{condition}", "model": "m", "prompt": f"{task.task} {condition}", "editable_files": ["a.py"], "max_output_tokens": 9})
+
+
 def test_trials_resume(spark, suite):
     tasks = experiments.load_suite(str(suite / "suite.json"))
     asked = []
 
     def runner(request):
-        asked.append((request["task"], request["condition"]))
+        asked.append(request["trial_id"])
         if len(asked) == 2:
             raise ValueError("no answer")
-        return {"usage": {"input_tokens": 5, "output_tokens": 1}, "ok": request["condition"] == "context"}
+        return answer(request, {"a.py": "good" if request["trial_id"].endswith("graph") else "bad"})
 
-    def go():
-        return experiments.run(spark, tasks, str(suite / "out"), lambda t, c: {"text": f"{t.task} {c}"}, runner, lambda t, r: "passed" if r["ok"] else "test_failed", ["task_only", "context"])
+    def go(request=made):
+        return experiments.run(spark, tasks, str(suite / "out"), request, runner, lambda t, edits: "passed" if edits["a.py"] == "good" else "test_failed", ["lexical", "graph"])
 
     first = go()
-    assert [c for t, c in asked if t == "t1"] == ["context", "task_only"]  # each task starts one later
-    assert first["usage"] == {"input_tokens": None, "output_tokens": None} and first["invocations"] == 6
+    assert [t for t in asked if t.startswith("t1")] == ["t1:graph", "t1:lexical"]  # each task starts one later
+    assert first["usage"] == {"input_tokens": None, "output_tokens": None, "cost_usd": None} and first["invocations"] == 6 and first["attempts"] == 6
     second = go()
-    assert second["invocations"] == 1 and second["usage"]["input_tokens"] == 30
-    assert second["pairs"] == [{"baseline": "task_only", "contender": "context", "matched": 3, "contender_only": 3, "baseline_only": 0}]
-    with pytest.raises(ValueError):
-        experiments.run(spark, tasks, str(suite / "out"), None, None, None, ["context"])
-    with pytest.raises(ValueError):
-        experiments.selected_conditions(["nope"])
+    assert second["invocations"] == 1 and second["attempts"] == 7
+    assert second["usage"]["input_tokens"] is None  # the failed attempt's bill is not known, whatever came later
+    assert second["pairs"] == [{"baseline": "lexical", "contender": "graph", "matched": 3, "contender_only": 3, "baseline_only": 0}]
+    assert go()["invocations"] == 0
+    with pytest.raises(ValueError, match="request of"):
+        go(lambda t, c: experiments.stamped(made(t, c) | {"prompt": "other"}))
+    with pytest.raises(ValueError, match="conditions"):
+        experiments.run(spark, tasks, str(suite / "out"), made, runner, None, ["graph"])
+    (suite / "one" / "a.py").write_text("changed = 1\n")
+    with pytest.raises(ValueError, match="added task-t0/a.py"):
+        go()
+    for bad in (["nope"], [], ["graph", "graph"], ["task_only"]):
+        with pytest.raises(ValueError):
+            experiments.selected_conditions(bad)
+    assert experiments.selected_conditions(None) == ("lexical", "graph", "memory", "stale_memory")
+
+
+def test_rate_limits_end_a_run_and_cut_short_runs_lose_nothing(spark, suite):
+    tasks = experiments.load_suite(str(suite / "suite.json"))
+    asked = []
 
+    def limited(request):
+        asked.append(request["trial_id"])
+        return answer(request, status="rate_limited") if len(asked) == 2 else answer(request)
 
-def test_usage():
-    assert experiments.usage_of({"usage": {"input_tokens": True}}, 9)[0] == "invalid_response"
-    assert experiments.usage_of({"usage": {"output_tokens": 10}}, 9) == ("token_limit", {"input_tokens": None, "output_tokens": 10})
-    assert experiments.usage_of({}, 9)[0] is None
+    go = lambda runner: experiments.run(spark, tasks, str(suite / "out"), made, runner, lambda t, e: "passed", ["lexical"])
+    first = go(limited)
+    assert len(asked) == 2 and first["attempts"] == 2 and first["usage"]["cost_usd"] == 1.0 and first["planned"] == 3
 
+    def dies(request):
+        if request["trial_id"] == "t2:lexical":
+            raise KeyboardInterrupt
+        return answer(request, usage=None)
 
-def test_classified_and_calibrated(spark):
-    rows = spark.createDataFrame([("a", -1, 1, None, 5, "passed"), ("b", 1, 9, None, 5, "passed"), ("c", None, None, None, 5, "passed")], "task string, input_tokens long, output_tokens long, cost double, output_limit int, outcome string")
-    assert [r.outcome for r in evaluation.classified(rows).orderBy("task").collect()] == ["invalid_response", "token_limit", "passed"]
+    with pytest.raises(KeyboardInterrupt):
+        go(dies)
+    last = go(lambda request: answer(request))
+    assert last["attempts"] == 4 and last["invocations"] == 1 and last["usage"]["cost_usd"] is None
+    assert last["conditions"]["lexical"]["passed"] == 3
+    (suite / "mixed").mkdir()
+    (suite / "mixed" / "notes.txt").write_text("mine")
+    with pytest.raises(ValueError, match="empty"):
+        experiments.run(spark, tasks, str(suite / "mixed"), made, limited, None, ["lexical"])
+
+
+def test_calibrated(spark):
     results = spark.createDataFrame([("a", "solution", True), ("a", "broken", False)], "task string, kind string, passed boolean")
     assert experiments.calibrated(results) and not experiments.calibrated(results.withColumn("passed", F.lit(True)))
 
@@ -86,31 +123,71 @@ def coding(tmp_path):
 
 def test_requests(spark, coding):
     at, task = coding
-    seen = {}
+    seen, terms = {}, experiments.Terms("some-model", 1200, 200)
+    bench = experiments.Workbench(spark, task, str(at / "scratch"))
     for condition in ("lexical", "hybrid_memory", "hybrid_stale_memory"):
-        root = experiments.trial_tree(task, str(at / "scratch"))
-        request, told = experiments.build_request(spark, task, root, condition, "some-model", 1200, 200)
+        request, told = experiments.build_request(bench, condition, terms)
         assert request["request_hash"] == experiments.fingerprint({k: v for k, v in request.items() if k != "request_hash"})
         assert told["prompt_estimated_tokens"] == -(-len(request["prompt"].encode()) // 3) <= 1200
-        seen[condition] = told | {"prompt": request["prompt"]}
+        seen[condition] = told | {"prompt": request["prompt"], "hashes": request["source_hashes"]}
     assert seen["lexical"]["included_files"] == ["prices.py"] and seen["lexical"]["omitted_files"] == ["long.py"]
     assert seen["hybrid_memory"]["included_lessons"] == [1] and "rounded first" in seen["hybrid_memory"]["prompt"]
     assert seen["hybrid_stale_memory"]["included_lessons"] == [] and "rounded first" not in seen["hybrid_stale_memory"]["prompt"]
     assert seen["lexical"]["lesson_origin"] is None and "prices.py:net_price" in seen["hybrid_memory"]["included_symbols"]
-    for bad in (("nope", "m", 1200, 200), ("lexical", " ", 1200, 200), ("lexical", "m", 100, 200), ("lexical", "m", 1200, 1)):
+    assert seen["lexical"]["hashes"] == seen["hybrid_memory"]["hashes"] != seen["hybrid_stale_memory"]["hashes"]
+    for bad in ((" ", 1200, 200), ("m", 100, 200), ("m", 1200, 1), ("m", True, 200)):
         with pytest.raises(ValueError):
-            experiments.build_request(spark, task, str(at / "shop"), *bad)
+            experiments.Terms(*bad)
+    with pytest.raises(ValueError):
+        experiments.build_request(bench, "nope", terms)
+
+
+def test_default_conditions_run_with_built_requests(spark, coding):
+    at, task = coding
+    bench, terms = experiments.Workbench(spark, task, str(at / "scratch")), experiments.Terms("m", 1200, 200)
+    out = experiments.run(spark, [task], str(at / "out"), lambda t, c: experiments.build_request(bench, c, terms)[0], lambda r: answer(r, {"prices.py": "x"}), lambda t, e: "passed")
+    assert {c: v["passed"] for c, v in out["conditions"].items()} == dict.fromkeys(("lexical", "graph", "memory", "stale_memory"), 1)
+    assert [(p["baseline"], p["contender"]) for p in out["pairs"]] == [("graph", "memory"), ("graph", "stale_memory"), ("lexical", "graph")]
 
 
-def test_exported_and_frozen_requests(spark, coding):
+def test_exported_and_prepared_requests(spark, coding):
     at, task = coding
-    paths = experiments.export_requests(spark, [task], str(at / "out"), str(at / "scratch"), "m", 1200, 200, ["lexical", "graph"])
+    terms = experiments.Terms("m", 1200, 200)
+    paths = experiments.export_requests(spark, [task], str(at / "out"), str(at / "scratch"), terms, ["lexical", "graph"])
     assert [p.rsplit("/", 1)[1] for p in paths] == ["t--lexical.json", "t--graph.json"]
     assert json.loads(open(paths[0]).read())["trial_id"] == "t:lexical"
-    manifest = experiments.prepare_trials(spark, [task], str(at / "frozen"), str(at / "scratch"), "m", 2, 1200, 200, ["lexical"])
-    assert manifest["order"] == ["t-lexical-r1", "t-lexical-r2"] and "plans/experiments.py" in manifest["engine_hashes"]
+    frozen = str(at / "frozen")
+    manifest = experiments.prepare_trials(spark, [task], frozen, str(at / "scratch"), terms, 2, ["lexical", "hybrid"])
+    assert manifest["order"] == ["t-lexical-r1", "t-hybrid-r1", "t-hybrid-r2", "t-lexical-r2"]
     with pytest.raises(ValueError):
-        experiments.prepare_trials(spark, [task], str(at / "frozen"), str(at / "scratch"), "m", 2, 1200, 200, ["lexical"])
+        experiments.prepare_trials(spark, [task], frozen, str(at / "scratch"), terms, 2, ["lexical"])
+
+    asked = []
+
+    def runner(request):
+        asked.append(request["trial_id"])
+        assert request["output_schema"] == experiments.output_schema(["prices.py"]) and request["prompt"].endswith(experiments.OF_LOGS)
+        path, tokens = ("other.py" if request["trial_id"] == "t:hybrid:r1" else "prices.py"), (201 if request["trial_id"] == "t:hybrid:r2" else 200)
+        text = json.dumps({"edits": [{"path": path, "content": "x"}]})
+        return "\n".join(map(json.dumps, [{"type": "item.completed", "item": {"type": "agent_message", "text": text}}, {"type": "turn.completed", "usage": {"input_tokens": 1, "output_tokens": tokens}}]))
+
+    out = experiments.run_prepared(spark, [task], frozen, runner, lambda t, e: "passed")
+    assert asked == ["t:lexical:r1", "t:hybrid:r1", "t:hybrid:r2", "t:lexical:r2"] and out["usage"]["cost_usd"] is None and out["usage"]["input_tokens"] == 4
+    assert {(r["condition"], r["outcome"], r["n"]) for r in out["outcomes"]} == {("lexical", "passed", 2), ("hybrid", "invalid_candidate", 1), ("hybrid", "output_budget_violation", 1)}
+    assert experiments.run_prepared(spark, [task], frozen, runner, lambda t, e: "passed")["invocations"] == 1  # what isn't scored is asked again
+    (at / "shop" / "checks.py").write_text("# other acceptance\n")
+    with pytest.raises(ValueError, match="added task-t/checks.py"):
+        experiments.run_prepared(spark, [task], frozen, runner, None)
+
+
+def test_replay(tmp_path):
+    (tmp_path / "saved.json").write_text(json.dumps({"schema_version": 1, "responses": {"t:graph": {"status": "ok"}}}))
+    runner = experiments.ReplayRunner(str(tmp_path / "saved.json"))
+    assert json.loads(runner({"trial_id": "t:graph"})) == {"status": "ok"} and runner({"trial_id": "t:other"}) is None
+    for bad in ("[]", '{"schema_version": 2, "responses": {}}', '{"schema_version": 1, "responses": []}'):
+        (tmp_path / "saved.json").write_text(bad)
+        with pytest.raises(ValueError):
+            experiments.ReplayRunner(str(tmp_path / "saved.json"))
 
 
 def test_set_recall(spark):
