@@ -19,15 +19,20 @@ NODES = "path string, parent string, level int, hash string, file boolean"
 
 
 def files_of(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
-    """(path, hash) of all files of the folders, below the folders' names."""
-    found = None
+    """(path, hash) of all files of the driver's folders, below the folders' names; links are not followed.
+
+    Spark's reader of whole files passes over empty ones, so names are listed
+    and what it doesn't give is the hash of nothing.
+    """
+    rows, names = spark.createDataFrame([], "path string, hash string"), []
     for name, folder in sorted(folders.items()):
-        base = folder if "://" in folder else "file://" + os.path.realpath(folder)
-        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-        inside = F.expr(f"substring(path, {len(base.replace('file://', 'file:').rstrip('/')) + 2})") if base.startswith("file:") else F.substring_index("path", base.rstrip("/") + "/", -1)
-        rows = rows.select(F.concat(F.lit(f"{name}/"), inside).alias("path"), F.sha2("content", 256).alias("hash"))
-        found = rows if found is None else found.unionByName(rows)
-    return found if found is not None else spark.createDataFrame([], "path string, hash string")
+        base = os.path.realpath(folder)
+        inside = [os.path.relpath(os.path.join(at, f), base) for at, _, files in os.walk(base) for f in files]
+        names += [(f"{name}/{path}",) for path in inside if not path.endswith(".pyc")]
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{base}")
+        rows = rows.unionByName(found.select(F.concat(F.lit(f"{name}/"), F.expr(f"substring(path, {len('file:' + base) + 2})")).alias("path"), F.sha2("content", 256).alias("hash")))
+    listed = spark.createDataFrame(names, "path string")
+    return listed.join(rows, "path", "left").select("path", F.coalesce("hash", F.sha2(F.lit(b""), 256)).alias("hash"))
 
 
 def _digest(rows: DataFrame, *by: str) -> DataFrame:

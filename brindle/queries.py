@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import STOPWORDS, digest, token_estimate, tokens
 from .functions.tokenizer import distinct_tokens
-from .operators import diff, evaluation, event_logs, graph, lessons, linking, packing, ranking
+from .operators import diff, evaluation, event_logs, graph, ledger, lessons, linking, manifest, packing, ranking, responses
 from .storage import stage, workers_import_this
 
 QUERY = "der que erst"
@@ -704,3 +704,81 @@ def log_outcomes(spark, sf_dir):
     found = event_logs.outcomes(log_lines(spark, sf_dir))
     listed = F.array_join(F.transform("edits", lambda r: F.concat_ws(":", r["path"], r["content"])), "\n")
     return found.select("log", "status", "has_usage", *[F.coalesce(c, F.lit(-1)).alias(c) for c in event_logs.COUNTERS], digest(listed).alias("edits_sha256"))
+
+
+# responses, attempts and what they depend on
+
+
+def trial_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An order as a request, and the answer to it, which is wrong in some way for most: requests, responses."""
+    orders = t(spark, sf_dir, "orders")
+    key, case = F.col("o_orderkey"), F.col("o_orderkey") % 16
+    trial, own = F.concat(F.lit("t"), key), digest(F.concat(F.lit("q"), key))
+    requests = orders.select(trial.alias("trial_id"), own.alias("request_hash"), F.lit("m1").alias("model"), F.lit(100).cast("long").alias("max_output_tokens"), F.array(F.lit("a.py"), F.lit("b.py")).alias("editable_files"))
+    usage = F.when(case == 1, "[]").when(case == 2, '{"input_tokens": true}').when(case == 3, '{"output_tokens": 7.5}').when(case == 4, '{"cost_usd": -1}').when(case == 5, "null").otherwise(
+        F.format_string('{"input_tokens": %d, "output_tokens": %d, "cost_usd": %d.25}', F.col("o_custkey"), F.when(case == 6, 101).otherwise(100), key % 7)
+    )
+    status = F.when(case == 7, "rate_limited").when(case == 8, "model_mismatch").when(case == 9, "done").otherwise("ok")
+    edits = F.when(case == 10, '["a.py"]').when(case == 11, '{"c.py": "x"}').when(case == 12, '{"a.py": 3}').otherwise(F.concat(F.lit('{"a.py": "'), F.col("o_orderpriority"), F.lit('"}')))
+    body = F.concat(F.lit('{"schema_version": '), F.when(case == 13, "true").otherwise("1"), F.lit(', "model": "'), F.when(case == 14, "m2").otherwise("m1"), F.lit('", "request_hash": "'), own, F.lit('", "status": "'), status, F.lit('", "usage": '), usage, F.lit(', "edits": '), edits, F.lit("}"))
+    return requests, orders.where(case != 0).select(trial.alias("trial_id"), F.when(case == 15, F.substr(body, F.lit(1), F.length(body) - 1)).otherwise(body).alias("body"))
+
+
+_RESPONSES = """WITH answers AS (
+  SELECT o_orderkey AS k, o_orderkey % 16 AS c, o_custkey, o_orderpriority FROM orders
+), judged AS (
+  SELECT *, CASE WHEN c = 0 THEN 'missing_response' WHEN c IN (1, 2, 3, 4, 13, 14, 15) THEN 'invalid_response' WHEN c = 7 THEN 'rate_limited' WHEN c = 8 THEN 'model_mismatch' WHEN c IN (9, 10) THEN 'invalid_response'
+    WHEN c = 6 THEN 'budget_violation' WHEN c IN (11, 12) THEN 'invalid_candidate' ELSE 'answered' END AS outcome, c NOT IN (0, 1, 2, 3, 4, 5, 13, 14, 15) AS known FROM answers
+)
+SELECT 't' || k AS trial_id, outcome, CASE WHEN known THEN o_custkey ELSE -1 END AS input_tokens, CAST(CASE WHEN NOT known THEN -1 WHEN c = 6 THEN 101 ELSE 100 END AS BIGINT) AS output_tokens,
+  CAST(CASE WHEN known THEN k % 7 + 0.25 ELSE -1 END AS DOUBLE) AS cost_usd, CASE WHEN outcome = 'answered' THEN 'a.py:' || o_orderpriority ELSE '' END AS edits FROM judged"""
+
+
+@query(_RESPONSES)
+def response_outcomes(spark, sf_dir):
+    """What becomes of each answer; unknown counters are -1."""
+    rows = responses.judged(*trial_tables(spark, sf_dir))
+    listed = F.array_join(F.transform("edits", lambda e: F.concat_ws(":", e["path"], e["content"])), ",")
+    return rows.select("trial_id", "outcome", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ledger.USAGE], F.coalesce(listed, F.lit("")).alias("edits"))
+
+
+@query("""WITH attempts AS (
+  SELECT o_custkey || '|' || o_orderpriority AS request_hash, o_orderkey AS attempt, CASE o_orderstatus WHEN 'F' THEN 'passed' WHEN 'O' THEN 'provider_error' ELSE 'rate_limited' END AS outcome, o_orderkey % 5 AS tokens,
+    CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 9 AS DOUBLE) END AS cost FROM orders
+), final AS (
+  SELECT request_hash, coalesce(arg_min({'o': outcome, 'a': attempt}, attempt) FILTER (outcome = 'passed'), arg_max({'o': outcome, 'a': attempt}, attempt)) AS f, count(*) AS attempts, CAST(sum(tokens) AS BIGINT) AS total_input_tokens,
+    CASE WHEN count(*) = count(cost) THEN sum(cost) ELSE -1 END AS total_cost_usd FROM attempts GROUP BY request_hash
+)
+SELECT request_hash, f.o AS outcome, f.a AS attempt, attempts, total_input_tokens, total_cost_usd FROM final""")
+def attempts_merged(spark, sf_dir):
+    """Orders of a customer and priority as attempts at one trial; an unknown total is -1."""
+    orders = t(spark, sf_dir, "orders")
+    outcome = F.when(F.col("o_orderstatus") == "F", "passed").when(F.col("o_orderstatus") == "O", "provider_error").otherwise("rate_limited")
+    cost = F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_orderkey") % 9).cast("double"))
+    rows = orders.select(F.concat_ws("|", "o_custkey", "o_orderpriority").alias("request_hash"), F.col("o_orderkey").alias("attempt"), F.lit("").alias("id"), outcome.alias("outcome"), (F.col("o_orderkey") % 5).alias("input_tokens"), cost.alias("cost_usd"))
+    return ledger.merged(rows).select("request_hash", "outcome", "attempt", "attempts", "total_input_tokens", F.coalesce("total_cost_usd", F.lit(-1.0)).alias("total_cost_usd"))
+
+
+def asset_files(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataFrame:
+    """Documents as files in folders of their source and language; every seventh is another text, and every eleventh gone, where changed."""
+    docs = t(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")) if changed else F.col("text")
+    return docs.where(F.col("doc_id") % 11 != 0 if changed else F.lit(True)).select(F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), "doc_id").alias("path"), digest(text).alias("hash"))
+
+
+_FOLDED = """{n}_s AS (SELECT parent, substr(md5(name), 1, 2) AS shard, sha256(string_agg(hash || ' ' || name, chr(10) ORDER BY name, hash)) AS h FROM {of} GROUP BY parent, shard),
+{n} AS (SELECT parent AS path, sha256(string_agg(h || ' ' || shard, chr(10) ORDER BY shard)) AS hash FROM {n}_s GROUP BY parent)"""
+
+
+@query(f"""WITH files AS (SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS parent, CAST(doc_id AS VARCHAR) AS name, coalesce(sha256(text), '') AS hash FROM documents),
+{_FOLDED.format(n="langs", of="files")}, langs_c AS (SELECT split_part(path, '/', 1) AS parent, split_part(path, '/', 2) || '/' AS name, hash FROM langs),
+{_FOLDED.format(n="sources", of="langs_c")}, sources_c AS (SELECT '' AS parent, path || '/' AS name, hash FROM sources), {_FOLDED.format(n="root", of="sources_c")}
+SELECT parent || '/' || name AS path, 3 AS level, hash, true AS file FROM files UNION ALL SELECT path, 2, hash, false FROM langs UNION ALL SELECT path, 1, hash, false FROM sources UNION ALL SELECT path, 0, hash, false FROM root""")
+def asset_tree(spark, sf_dir):
+    return manifest.tree(asset_files(spark, sf_dir)).select("path", "level", "hash", "file")
+
+
+@query("""SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN 'removed' ELSE 'changed' END AS change
+FROM documents WHERE doc_id % 11 = 0 OR doc_id % 7 = 0 AND text IS NOT NULL""")
+def asset_differences(spark, sf_dir):
+    return manifest.differences(*(stage(manifest.tree(asset_files(spark, sf_dir, changed)), "asset-tree") for changed in (False, True)))
