@@ -1,5 +1,6 @@
 """Requests over small authored trees."""
 
+import json
 import subprocess
 
 import pytest
@@ -207,7 +208,8 @@ def test_investigation_clock_and_bounds(spark, tree, tmp_path):
     run = investigate(spark, str(tree), symbols=["round_cent"], max_seconds=1, clock=lambda: next(ticks))
     assert run["stop_reason"] == "time_limit"
     write_json(str(tmp_path / "run.json"), run)
-    assert load_summary(str(tmp_path / "run.json"))["status"] == "partial" and summarize(run)["citations"] == []
+    told = load_summary(str(tmp_path / "run.json"))
+    assert told["status"] == "partial" and told["evidence"] == {} and told["estimated_tokens"] == 0 and told["trace"][-1]["reason"] == "time_limit"
     make(tree, {"broken.py": "def ("})
     assert investigate(spark, str(tree), symbols=["round_cent"], max_seconds=120)["stop_reason"] == "index_warnings"
     for bad in ({}, {"task": "a", "ref": "b"}, {"task": " "}, {"symbols": []}, {"task": "a", "max_tokens": 1}, {"task": "a", "max_seconds": float("nan")}):
@@ -215,6 +217,38 @@ def test_investigation_clock_and_bounds(spark, tree, tmp_path):
             investigate(spark, str(tree), **bad)
 
 
+def test_summaries(spark, tree, tmp_path):
+    run = investigate(spark, str(tree), task="cart total", max_seconds=120)
+    told = summarize(json.loads(json.dumps(run)))
+    assert [r["id"] for r in told["evidence"]["current"]] == [r["id"] for r in run["context"]["included"]] and set(told["evidence"]["current"][0]) == {"id", "path", "start", "end", "reasons"}
+    assert told["verification"] == run["verification"] and told["retrieval"] == run["retrieval"] and told["warnings"] == list(dict.fromkeys(run["context"]["warnings"]))
+    assert len(told["trace"]) == len(run["trace"]) and not any("candidates" in step for step in told["trace"])
+    assert run["context"]["text"] not in json.dumps(told)
+    broken = [[], {}, run | {"schema_version": 2}, run | {"status": "done"}, run | {"trace": None}, {k: v for k, v in run.items() if k != "limits"}, run | {"context": {"text": "x"}}]
+    for bad in broken:
+        with pytest.raises(ValueError):
+            summarize(bad)
+    for data in (b"{", b"\xff\xfe", b'{"a": "' + b"x" * 10_000_000 + b'"}'):
+        (tmp_path / "bad.json").write_bytes(data)
+        with pytest.raises(ValueError):
+            load_summary(str(tmp_path / "bad.json"))
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    from brindle.__main__ import main
+
+    assert main([str(tree), "search_symbols", "--query", "cart total", "--limit", "2"], spark) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert len(found["matches"]) == 2 and found["retrieval"] == "hybrid"
+    assert main([str(tree), "analyze_impact", "--symbols", "round_cent", "--depth", "1", "--detail", "full"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["candidates"][0]["distance"] == 0
+    write_json(str(tmp_path / "run.json"), investigate(spark, str(tree), symbols=["round_cent"], max_seconds=120))
+    assert main(["summary", str(tmp_path / "run.json")], spark) == 0 and json.loads(capsys.readouterr().out)["status"] == "ready"
+    assert main([str(tree), "search_symbols", "--query", " "], spark) == 2 and "query" in capsys.readouterr().err
+    assert main([str(tmp_path / "nothing"), "localize_changes"], spark) == 2
+    assert main(["summary", str(tmp_path / "nothing")], spark) == 2
+
+
 def test_names_are_folded(spark):
     rows = [("a.py", "def straße():\n    pass\n\n\ndef Name():\n    pass\n".encode())]
     snap = Snapshot.of_files(spark, spark.createDataFrame(rows, "path string, content binary"))
