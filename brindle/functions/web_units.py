@@ -4,7 +4,8 @@ There is no parser here, only a scanner: the text becomes flat tokens with
 matched brackets, JSX elements are one token each, and definitions, bindings and
 calls are recognised by the tokens around them.  It looks for plain module
 syntax and prefers to miss a call to inventing one; a file with unmatched
-brackets or an unfinished string counts as unreadable.  Runs in Python workers.
+brackets, an unfinished string or tokens that can't be neighbours (see
+``web_syntax``) counts as unreadable.  Runs in Python workers.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+from .web_syntax import error_in
+
 # Suffixes of the two languages, and words that are no names or begin no call.
 TYPESCRIPT, JAVASCRIPT = (".ts", ".tsx", ".mts"), (".js", ".jsx", ".mjs")
 SUFFIXES = TYPESCRIPT + JAVASCRIPT
@@ -39,7 +42,7 @@ OPERATOR = re.compile("|".join(map(re.escape, OPERATORS)) + r"|[^\s\w]")
 
 
 class Unreadable(ValueError):
-    """Unmatched brackets, or a string, template, comment or element without an end."""
+    """Unmatched brackets, a string, template, comment or element without an end, or tokens that can't be neighbours."""
 
 
 class Token(NamedTuple):
@@ -190,6 +193,8 @@ class Module:
         self.path, self.text = path, text
         scanned = Scanner(text, not path.endswith((".ts", ".mts")))
         self.tokens, self.partner = scanned.tokens, scanned.partner
+        if wrong := error_in(self.tokens, lambda at: text.count("\n", 0, at) + 1):
+            raise Unreadable(wrong)
         self.warnings: list[str] = []
         self.imports: dict[str, tuple[str, str] | None] = {}
         self.preamble: list[str] = []

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.line_match import changed_blocks
 from ..storage import workers_import_this
 
 
@@ -42,8 +43,7 @@ def line_diff(changed: DataFrame) -> DataFrame:
 
 
 def hunks(old: bytes | None, new: bytes | None) -> list[tuple]:
-    matcher = difflib.SequenceMatcher(None, (old or b"").splitlines(), (new or b"").splitlines(), autojunk=False)
-    changed = [o for o in matcher.get_opcodes() if o[0] != "equal"]
+    changed = changed_blocks((old or b"").splitlines(), (new or b"").splitlines())
     return [(n, kind, a + 1, b - a, c + 1, d - c) for n, (kind, a, b, c, d) in enumerate(changed)]
 
 
@@ -93,7 +93,22 @@ def changed_kind(letter: Column) -> Column:
 def fingerprint(hashes: DataFrame) -> DataFrame:
     """One row: SHA-256 of the JSON object of paths and hashes, sorted by path.
 
-    A snapshot's files are gathered into one array: 100 bytes a file.
+    The digest of one text can only be made in order: rows of 100 bytes a file
+    are sorted, on disk where they don't fit, and read through once, a batch at a
+    time.  For trees that are too large for one task, and to find out what
+    changed, there is ``manifest.tree``.
     """
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "hash"))), lambda x: F.concat(F.to_json(F.array(x["path"])).substr(F.lit(2), F.length(F.to_json(F.array(x["path"]))) - 2), F.lit(': "'), x["hash"], F.lit('"'))), ", ")
-    return hashes.where(F.col("hash").isNotNull()).agg(F.sha2(F.concat(F.lit("{"), text, F.lit("}")), 256).alias("fingerprint"))
+    workers_import_this(hashes.sparkSession)
+    quoted = F.to_json(F.array("path"))
+    pairs = hashes.where(F.col("hash").isNotNull()).select("path", F.concat(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(': "'), "hash", F.lit('"')).alias("pair"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, between = hashlib.sha256(b"{"), b""
+        for batch in batches:
+            for pair in batch.column(0):
+                digest.update(between + pair.as_buffer().to_pybytes())
+                between = b", "
+        digest.update(b"}")
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["fingerprint"])
+
+    return pairs.repartition(1).sortWithinPartitions("path", "pair").select("pair").mapInArrow(read, "fingerprint string")

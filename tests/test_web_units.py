@@ -119,3 +119,31 @@ def test_linking(spark):
     }
     assert "Unresolved calls (1) in use.ts:f; dynamic/type/JSX dispatch is not modeled" in snap.warnings
     assert {r.id: r.language for r in snap.symbols.collect()}["far.mjs:go"] == "javascript"
+
+
+WRONG = (
+    "let let = = 5", "export function f() { return 1 +; }", "if return", "const a = ;", "a = (1 && );", "f(, = 2)", "x === === y", "while true {}", "const x = 5 6;", 'const s = "a" "b";',
+    "const const a = 1", "for x of y {}", "let y = 3 abc", "const z = a ||", "export function broken( {",
+)
+RIGHT = (
+    "const p = a\n  + b, q = -1;\nlet r = +p ** 2;", "class A { if = 1; for; let = 2; static const = 3; get if() { return this.if; } while() {} }", "type M<T> = { -readonly [K in keyof T]-?: T[K] } & { +readonly a?: 1 };",
+    "const o = { if: 1, for: 2, let: 3, return: 4, class() {} }; o.if = o.for + o.return; o?.while;", "function* g() { yield* g(); yield; }", "export * from './a';\nimport * as b from './b';\nexport { x as if, y as for };",
+    'import d from "./d.json" with { type: "json" };', "let x!: number; x! = 3; const y = x!;", "const f = (a?: number, b = 2, ...c: string[]) => a ?? b;", "for await (const x of y) {}\ndo {} while (x)\ntry {} catch {} finally {}",
+    "const t = `a${1 + 2}b${`c${3}`}`, u = `x`;", "const c = [1, , 3], [a, , b = 2] = c; ({ a, ...b } = c);", "let v = x as const\nlet w = <const>[1];", 'type U = "a" | "b"; type C = T extends "a" ? 1 : 2; const n = "k" in o, i = 1 in o;',
+    "const re = /a+/g, d = a / b / c; a ||= b; a **= 2; a >>>= 1;", "label: for (;;) { continue label }\nif (a) b; else if (c) d", "type G<T = Array<number>> = T; let g: Array<Array<number>>= [];", "const big = 10n, h = 0xffn, e = 1e-7, s = 1_000;", "async function q() { await (async () => 1)() }",
+    "enum E { A = 1, B = A << 2 }\nconst enum F { X }\nabstract class Z<T> extends Y<T> implements W { constructor(private readonly a = 1) { super() } }", "export default class {}\nexport = x;", "const neg = !a, inv = ~b, t2 = typeof a === 'string', del = delete o.a, vd = void 0;", "",
+    "a\n++b\nc--\nd", "let yes = a ? b : c, no = a ? -b : +c;", "case1: 5\n6", '"use strict"\n"other"', "const get = 1, set = 2, of = 3, from = 4; from + of;",
+)
+
+
+@pytest.mark.parametrize("text", WRONG)
+def test_syntax_errors_give_no_symbols(text):
+    unit = web_unit("a.ts", f"export function good() {{ return 1; }}\n{text}\n".encode())
+    assert unit["hash"] is None and not unit["symbols"] and "a.ts" in unit["warnings"][0]
+
+
+@pytest.mark.parametrize("text", RIGHT)
+def test_valid_files_are_read(text):
+    unit = web_unit("a.ts", f"export function good() {{ return 1; }}\n{text}\n".encode())
+    assert unit["hash"] is not None, unit["warnings"]
+    assert "a.ts:good" in {s["id"] for s in unit["symbols"]}
