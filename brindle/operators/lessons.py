@@ -46,6 +46,12 @@ def with_freshness(lessons: DataFrame, hashes: DataFrame, path: Column | None =
     return joined.withColumn("stale", stale).select(*lessons.columns, "stale")
 
 
+def still_fresh(lessons: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Lessons with ``stale`` as it was read, also set where the captured digests are others; a null counts as stale."""
+    live = with_freshness(lessons.drop("stale"), hashes).select("id", F.col("stale").alias("_live"))
+    return lessons.join(live, "id").withColumn("stale", F.coalesce("stale", F.lit(True)) | F.col("_live")).drop("_live")
+
+
 def eligible(lessons: DataFrame, symbols: DataFrame, hashes: DataFrame) -> DataFrame:
     """Confirmed lessons, said to be fresh and not blank, whose scope is a symbol and whose digests are those captured.
 

@@ -204,6 +204,18 @@ def lesson_freshness(spark, sf_dir):
     return lessons.with_freshness(rows, hashes).select("id", "scope", "status", "stale")
 
 
+@query(f"""WITH {_LESSONS}, now AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(CASE WHEN n_chars % 3 = 0 THEN text || '!' ELSE text END) AS hash FROM documents
+  UNION ALL SELECT source, sha256(source) FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT id, f.stale OR coalesce(e.hash <> evidence_hash OR s.hash <> scope_hash, true) AS stale FROM fresh f LEFT JOIN now e ON e.path = evidence LEFT JOIN now s ON s.path = scope""")
+def lesson_marks(spark, sf_dir):
+    """Lessons as they were read, against a capture in which every third text, by its length, is another."""
+    rows, hashes, sources = lesson_tables(spark, sf_dir)
+    read = lessons.with_freshness(rows, hashes)
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), digest(F.when(F.col("n_chars") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("hash"))
+    captured = docs.unionByName(sources.select("path", digest(F.col("path")).alias("hash")))
+    return lessons.still_fresh(read, captured).select("id", "stale")
+
+
 @query(f"WITH {_LESSONS} SELECT id, scope, evidence FROM eligible")
 def lesson_eligibility(spark, sf_dir):
     return eligible_notes(spark, sf_dir).select("id", "scope", "evidence")
@@ -309,6 +321,18 @@ def graph_frontier(spark, sf_dir):
     return graph.frontier(edges, graph.within(edges, seed(spark), 1))
 
 
+@query(f"""WITH {_reach(2).replace("RECURSIVE", "RECURSIVE")}, was_edges AS (SELECT src, dst FROM edges WHERE src NOT LIKE '%7'),
+was_near AS (SELECT dst AS node, src AS other FROM was_edges UNION ALL SELECT src, dst FROM was_edges), was_walk AS (
+  SELECT '{SEED}' AS id, 0 AS distance UNION SELECT other, distance + 1 FROM was_walk JOIN was_near ON node = id WHERE distance < 2)
+SELECT 'current' AS side, id, distance FROM reached UNION ALL SELECT 'historical', id, min(distance) FROM was_walk GROUP BY id""")
+def impact_of_versions(spark, sf_dir):
+    """What a seed reaches now, and before edges from nodes that end in 7 were added."""
+    now = order_edges(spark, sf_dir)
+    sides = {"current": now, "historical": now.where(~F.col("src").endswith("7"))}
+    found = [graph.within(edges, seed(spark), 2).select(F.lit(side).alias("side"), "id", "distance") for side, edges in sides.items()]
+    return found[0].unionByName(found[1])
+
+
 def _ranked_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = graph.within(order_edges(spark, sf_dir), seed(spark), 3)
     rows = part_rows(spark, sf_dir, "red bolt").withColumn("id", F.concat(F.lit("p:"), "id"))
@@ -394,6 +418,63 @@ def pack_with_reserve(spark, sf_dir):
     return packing.pack(parts, HEADER, BUDGET, reserve)
 
 
+@query(f"""WITH RECURSIVE offer AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY part, id) AS pos, * FROM (
+    SELECT 0 AS part, doc_id AS id, CAST(doc_id AS VARCHAR) AS name, strlen(text) AS bytes, CAST(NULL AS VARCHAR) AS needs FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT 1, doc_id, 'n' || doc_id, 40 + quality, CAST(doc_id AS VARCHAR) FROM labels)
+), packed AS (
+  SELECT CAST(0 AS BIGINT) AS pos, '' AS id, false AS kept, CAST({HEADER} AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS names
+  UNION ALL
+  SELECT pos, id, fits, CASE WHEN fits THEN used + bytes ELSE used END, CASE WHEN fits THEN list_append(names, id) ELSE names END FROM (
+    SELECT o.pos, o.name AS id, o.bytes, p.used, p.names, ceil((p.used + o.bytes) / 3.0) <= {BUDGET} - (1 - part) * 600 AND (needs IS NULL OR list_contains(p.names, needs)) AS fits FROM packed p JOIN offer o ON o.pos = p.pos + 1)
+)
+SELECT id, kept, used FROM packed WHERE pos > 0""")
+def pack_with_notes(spark, sf_dir):
+    """All documents, then a note for each labelled one, which needs its document; 600 tokens are held for notes."""
+    docs = t(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), F.octet_length("text").alias("bytes"), F.lit(False).alias("free"), F.lit(None).cast("string").alias("needs"))
+    notes = t(spark, sf_dir, "labels").select((F.col("doc_id") + (1 << 40)).alias("pos"), F.concat(F.lit("n"), "doc_id").alias("id"), (40 + F.col("quality")).alias("bytes"), F.lit(True).alias("free"), F.col("doc_id").cast("string").alias("needs"))
+    return packing.pack(docs.unionByName(notes).withColumn("seed", F.lit(False)), HEADER, BUDGET, 600).select("id", "kept", "used")
+
+
+@query(f"""WITH RECURSIVE files AS (SELECT user_id, 30 * count(*) + user_id AS bytes, min(event_id) FILTER (event_type = 'error') AS first FROM events GROUP BY user_id),
+listed AS MATERIALIZED (SELECT row_number() OVER (ORDER BY first) AS n, * FROM files WHERE first IS NOT NULL), packed AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS user_id, false AS kept, CAST({HEADER} AS BIGINT) AS used
+  UNION ALL SELECT l.n, l.user_id, ceil((used + bytes) / 3.0) <= {BUDGET}, CASE WHEN ceil((used + bytes) / 3.0) <= {BUDGET} THEN used + bytes ELSE used END FROM packed p JOIN listed l ON l.n = p.n + 1)
+SELECT CAST(user_id AS VARCHAR) AS id, kept, used FROM packed WHERE n > 0""")
+def files_in_order(spark, sf_dir):
+    """Users with an error, in the order of their first, as files."""
+    events = t(spark, sf_dir, "events")
+    files = events.groupBy(F.col("user_id").cast("string").alias("path")).agg((30 * F.count("*") + F.first("user_id")).alias("bytes"))
+    matches = events.where("event_type = 'error'").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("pos"))
+    return packing.files_in_order(matches, files, HEADER, BUDGET).select("id", "kept", "used")
+
+
+_CHOSEN = f"""WITH {bm25_ctes('b', DOCS, DOC_TERMS)}, found AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY score DESC, id) AS n, id, score, string_split(terms, ' ') AS terms FROM b ORDER BY n LIMIT 50
+), tied AS (SELECT count(*) AS k FROM found WHERE score = (SELECT max(score) FROM found)
+), rare AS (SELECT term, ln(1 + ((SELECT count(*) FROM found) + 0.5) / (count(*) + 0.5)) AS r FROM (SELECT unnest(terms) AS term FROM found) GROUP BY term
+), one AS (SELECT n, id, terms AS added FROM found, tied WHERE k <= 3 AND n <= k
+), c1 AS (SELECT coalesce(flatten(list(added)), []) AS covered FROM one
+), t1 AS (
+  SELECT n, id, added FROM (SELECT n, id, list_sort([x FOR x IN terms IF NOT list_contains(covered, x)]) AS added FROM found, c1, tied WHERE k = 1), LATERAL (SELECT sum(r) AS worth FROM rare WHERE list_contains(added, term))
+  WHERE len(added) > 0 ORDER BY worth DESC, n LIMIT 1
+), c2 AS (SELECT list_concat(covered, coalesce((SELECT added FROM t1), [])) AS covered FROM c1
+), t2 AS (
+  SELECT n, id, added FROM (SELECT n, id, list_sort([x FOR x IN terms IF NOT list_contains(covered, x)]) AS added FROM found, c2, tied WHERE k = 1), LATERAL (SELECT sum(r) AS worth FROM rare WHERE list_contains(added, term))
+  WHERE len(added) > 0 ORDER BY worth DESC, n LIMIT 1
+)
+SELECT id AS doc_id, array_to_string(list_sort(added), ' ') AS new_terms FROM one UNION ALL SELECT id, array_to_string(added, ' ') FROM t1 UNION ALL SELECT id, array_to_string(added, ' ') FROM t2"""
+
+
+@query(_CHOSEN)
+def seed_selection(spark, sf_dir):
+    """Seeds among the 50 best documents: those that are equally good, or the best and what adds terms to it."""
+    best = ranking.top(doc_scores(spark, sf_dir).withColumn("score", F.col("lexical")), 50)
+    matches = [{"id": r.id, "score": r.score, "exact": False, "terms": set(r.body_terms)} for r in best.collect()]
+    chosen = ranking.choose_seeds(matches)["selected"] if matches else []
+    return spark.createDataFrame([(s["id"], " ".join(s["new_terms"])) for s in chosen], "doc_id long, new_terms string")
+
+
 # snapshots
 
 _SNAPSHOTS = """old AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS hash FROM documents),
@@ -480,6 +561,14 @@ def uncovered_lines(spark, sf_dir):
     return diff.uncovered(*line_ranges(spark, sf_dir))
 
 
+@query(f"""WITH {_RANGES}, lines AS (SELECT path, unnest(range(s + 1, e + 1)) AS line FROM ranges), outside AS (
+  SELECT DISTINCT l.path FROM lines l WHERE NOT EXISTS (SELECT 1 FROM symbols y WHERE y.path = l.path AND l.line BETWEEN y.s AND y.e))
+SELECT y.id FROM ranges r JOIN symbols y ON r.path = y.path AND r.s < y.e AND r.e >= y.s AND r.s < r.e UNION SELECT id FROM symbols WHERE path IN (SELECT path FROM outside)""")
+def change_seeds(spark, sf_dir):
+    """Symbols that a change touches, and all of a document with a changed line outside of them."""
+    return diff.seeds(*line_ranges(spark, sf_dir))[0]
+
+
 @query()
 def line_diff(spark, sf_dir):
     """Each document against the one with the next id."""
@@ -516,6 +605,36 @@ def unique_resolution(spark, sf_dir):
     return linking.unique(t(spark, sf_dir, "part"), "p_name", "p_partkey", F.col("p_brand") == "Brand#11")
 
 
+def web_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as functions of their brand's file: each calls what its type and size are exported as, and the part after it."""
+    part = t(spark, sf_dir, "part").select(F.concat(F.lower(F.regexp_replace("p_brand", "#", "")), F.lit(".ts")).alias("path"), "p_partkey", F.concat(F.lit("f"), "p_partkey").alias("name"), F.concat_ws("-", "p_type", "p_size").alias("export"))
+    part = part.withColumn("id", F.concat_ws(":", "path", "name")).withColumn("module", F.concat(F.lit("./"), F.regexp_replace("path", "ts$", "js")))
+    symbols = part.select("id", "path")
+    imported = part.select(F.col("id").alias("symbol"), F.lit("import").alias("kind"), F.lit(None).cast("string").alias("name"), "module", "export")
+    local = part.select(F.col("id").alias("symbol"), F.lit("local").alias("kind"), F.concat(F.lit("f"), F.col("p_partkey") + 1).alias("name"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("string").alias("export"))
+    imports = part.select("path", "module", F.substr("module", F.lit(3)).alias("base")).distinct()
+    modules = linking.resolve_modules(imports, symbols.select("path").distinct(), [".ts", ".tsx"])
+    exports = linking.without_conflicts(part.select("path", "export", F.col("name").alias("local")))
+    return linking.link_web(imported.unionByName(local), symbols, modules, exports, part.where("p_partkey % 10 = 0").select("path", "name"))
+
+
+_WEB = """WITH parts AS (SELECT lower(replace(p_brand, '#', '')) || '.ts' AS path, p_partkey AS k, p_type || '-' || p_size AS export FROM part),
+exports AS (SELECT path, export, min(k) AS k FROM parts GROUP BY path, export HAVING count(DISTINCT k) = 1),
+hits AS (
+  SELECT p.path, p.k AS src, e.k AS dst FROM parts p JOIN exports e ON e.path = p.path AND e.export = p.export WHERE e.k % 10 <> 0
+  UNION ALL SELECT p.path, p.k, q.k FROM parts p JOIN parts q ON q.path = p.path AND q.k = p.k + 1 WHERE q.k % 10 <> 0)"""
+
+
+@query(_WEB + " SELECT DISTINCT path || ':f' || src AS src, path || ':f' || dst AS dst FROM hits")
+def link_web(spark, sf_dir):
+    return web_facts(spark, sf_dir)[0]
+
+
+@query(_WEB + " SELECT p.path || ':f' || p.k AS symbol, 2 - count(h.src) AS unresolved FROM parts p LEFT JOIN hits h ON h.path = p.path AND h.src = p.k GROUP BY p.path, p.k HAVING count(h.src) < 2")
+def unresolved_calls(spark, sf_dir):
+    return web_facts(spark, sf_dir)[1]
+
+
 # presentation and evaluation
 
 
