@@ -81,9 +81,11 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> Column:
 def _grams(urls: DataFrame, order: int) -> DataFrame:
     """A row per character: itself after the ``order`` characters before it (``g``).
 
-    A URL is lower-cased and ends with a line feed; it begins after ``order`` of these.
+    A URL is lower-cased and ends with a line feed; it begins after ``order`` of
+    these.  U+0000 and line feeds in it, which mean something to the model, count
+    as U+FFFD.
     """
-    padded = F.concat(F.lit("\n" * order), F.lower("url"), F.lit("\n"))
+    padded = F.concat(F.lit("\n" * order), F.translate(F.lower("url"), "\0\n", "\ufffd\ufffd"), F.lit("\n"))
     at = urls.withColumn("_s", padded).withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_s") - order)))
     return at.withColumn("g", F.substr(F.col("_s"), F.col("_at"), F.lit(order + 1))).drop("_s", "_at")
 

@@ -107,9 +107,10 @@ def test_url_model_is_interpolation(spark):
     import math
 
     settings = url_filter.Settings(order=2, least=1, calibrate=10**9)
-    rows = [("abab", True), ("abac", True), ("bbbb", False), ("babc", False)]
+    rows = [("abab", True), ("abac", True), ("a\0b\n", True), ("bbbb", False), ("babc", False), ("b\0\0\n\nc", False)]
     model, _ = url_filter.fit(spark, spark.createDataFrame(rows, "url string, accepted boolean"), settings)
-    asked = ["abab", "cabz", ""]
+    asked = ["abab", "cabz", "", "a\0b", "\n\nb\0\n", "\0"]
+    own = lambda t: "\n\n" + t.replace("\0", "\ufffd").replace("\n", "\ufffd") + "\n"
     got = {r.url: r.score for r in url_filter.scored(spark.createDataFrame([(u,) for u in asked], "url string"), model, settings, ["url"]).collect()}
 
     def p(x, c, texts):
@@ -118,8 +119,8 @@ def test_url_model_is_interpolation(spark):
         return (after.count(c) + len(set(after)) * lower) / (len(after) + len(set(after))) if after else lower
 
     for u in asked:
-        full = "\n\n" + u + "\n"
-        sides = [["\n\n" + t + "\n" for t, a in rows if a is side] for side in (True, False)]
+        full = own(u)
+        sides = [[own(t) for t, a in rows if a is side] for side in (True, False)]
         want = [math.log(p(full[i - 2 : i], full[i], sides[0]) / p(full[i - 2 : i], full[i], sides[1])) for i in range(2, len(full))]
         assert abs(got[u] - sum(want) / len(want)) < 1e-9
 
