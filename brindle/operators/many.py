@@ -15,8 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.tokenizer import distinct_tokens, text_terms
 from ..storage import ordinal, stage, workers_import_this
@@ -121,7 +123,8 @@ def best(docs: DataFrame, queries: DataFrame, limit: int, block: int = 128, keep
         rows = terms.join(numbered.where(F.col("block") == number), "query").select("query", "term", "df").collect()  # the terms of ``block`` queries
         if not rows:
             continue
-        part = slim.mapInArrow(_scorer(spark.sparkContext.broadcast(_Queries(rows, whole.n, whole.terms / whole.n)), limit, keep), schema)
+        block_of = spark.sparkContext.broadcast(_Queries(rows, whole.n, whole.terms / whole.n))
+        part = slim.mapInArrow(_scorer(block_of, limit, keep, to_arrow_type(terms.schema["query"].dataType)), schema)
         part = stage(part, "best-of-tasks")
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -130,12 +133,14 @@ def best(docs: DataFrame, queries: DataFrame, limit: int, block: int = 128, keep
     return found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query", "pos", F.col("key").alias(key), "score", *keep)
 
 
-def _scorer(shared, limit: int, keep: tuple[str, ...]):
+def _scorer(shared: Broadcast, limit: int, keep: tuple[str, ...], query_type: pa.DataType):
+    """The best of each query among a task's texts; what a task passes on is bounded by the block and the limit."""
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: _Queries = shared.value
         tops: list[list[tuple]] = [[] for _ in own.keys]
         floor = np.zeros(len(own.keys))
-        types = None
+        types: list[pa.DataType] = []
         for batch in batches:
             types = [batch.column(0).type, *(batch.column(c).type for c in keep)]
             for at in range(0, len(batch), CHUNK):
@@ -149,12 +154,11 @@ def _scorer(shared, limit: int, keep: tuple[str, ...]):
                     tops[q] = heapq.nsmallest(limit, tops[q] + more, key=_order)
                     if len(tops[q]) == limit:
                         floor[q] = -tops[q][-1][0]
-        if types is not None:
-            rows = [(own.keys[q], *entry) for q, top in enumerate(tops) for entry in top]
-            columns = [pa.array([r[0] for r in rows]) if rows else pa.array([], pa.null()), pa.array([-r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], types[0])]
+        rows = [(own.keys[q], *entry) for q, top in enumerate(tops) for entry in top]
+        if rows:
+            columns = [pa.array([r[0] for r in rows], query_type), pa.array([-r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], types[0])]
             columns += [pa.array([r[3][i] for r in rows], types[1 + i]) for i in range(len(keep))]
-            if rows:
-                yield pa.RecordBatch.from_arrays(columns, ["query", "score", "key", *keep])
+            yield pa.RecordBatch.from_arrays(columns, ["query", "score", "key", *keep])
 
     return scored
 

@@ -137,6 +137,18 @@ def test_best_of_many_plainly(spark, block):
     assert got == {k: v for k, t in TASKS if k and (v := plain_best(DOCS, t, 4))}
 
 
+def test_best_of_many_keeps_types_and_says_when_there_is_nothing(spark):
+    docs = spark.createDataFrame([(1, "payment due", True), (2, "payment", None)], "id int, text string, flag boolean")
+    queries = spark.createDataFrame([(7, "payment"), (8, "the of"), (7, "due")], "query smallint, text string")
+    got = many.best(docs, queries, 5, keep=("flag",))
+    assert got.dtypes == [("query", "smallint"), ("pos", "int"), ("id", "int"), ("score", "double"), ("flag", "boolean")]
+    assert [(r["query"], r.pos, r.id, r.flag) for r in got.orderBy("pos").collect()] == [(7, 1, 1, True), (7, 2, 2, None)]
+    for d, q in ((docs.limit(0), queries), (docs, queries.limit(0)), (docs, queries.where("query = 8"))):
+        assert many.best(d, q, 5).collect() == []
+    with pytest.raises(ValueError):
+        many.best(docs, queries, 0)
+
+
 def test_pack_each_is_pack(spark):
     import random
 
