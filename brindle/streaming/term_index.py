@@ -27,12 +27,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokenizer import text_terms
+from ..functions.tokenizer import lists, text_counts
 from ..operators import ranking
-from ..storage import workers_import_this
+from ..storage import small_batches, workers_import_this
 
 log = logging.getLogger(__name__)
 
+#: Texts whose terms a task holds at once.
+SLICE = 100
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -94,7 +97,8 @@ def ingest(spark: SparkSession, source: str, output: str, checkpoint: str, setti
         F.col(settings.key).alias("key"), F.struct(F.unix_micros(meta["file_modification_time"]).alias("arrived"), place.alias("place")).alias("version"),
         F.sha2(F.col(settings.text), 256).alias("digest"), *[F.col(c) for c in settings.keep], F.col(settings.text).alias("text"),
     )
-    query = slim.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with small_batches(spark):  # a stream has the settings of its start
+        query = slim.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     log.info("%s: %d new texts in %d batches, %d postings", source, totals["texts"], totals["batches"], totals["postings"])
     return dict(totals)
@@ -106,12 +110,11 @@ def tokenised(batch: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            found = [sorted(Counter(text_terms(t.as_py())).items()) for t in part.column("text")]
-            added = [
-                pa.array([sum(n for _, n in f) for f in found], pa.int64()),
-                pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n, _ in kinds), *added], [*(n for n, _ in kinds), "length", "term", "tf"])
+            for at in range(0, len(part), SLICE):
+                piece = part.slice(at, SLICE)
+                found = [dict(sorted(text_counts(t.as_py()).items())) for t in piece.column("text")]
+                added = [pa.array([sum(f.values()) for f in found], pa.int64()), lists(found, pa.string()), lists((f.values() for f in found), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*(piece.column(n) for n, _ in kinds), *added], [*(n for n, _ in kinds), "length", "term", "tf"])
 
     schema = ", ".join(f"`{n}` {kind}" for n, kind in [*kinds, ("length", "bigint"), ("term", "array<string>"), ("tf", "array<int>")])
     return batch.mapInArrow(count, schema)

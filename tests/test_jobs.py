@@ -13,6 +13,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from brindle import storage
+from brindle.functions import tokenizer
 from brindle.operators import many, packing, ranking
 from brindle.streaming import term_index as index
 from jobs import catalogue, evidence_packs, term_index
@@ -93,6 +95,25 @@ def test_index_goes_on_where_a_run_was_cut_short(spark, monkeypatch):
     assert index.current(spark, f"{at}/index").count() == 5 and index.postings(spark, f"{at}/index").where("key = 1").count() == 5
 
 
+def test_index_sends_small_batches_to_its_workers(spark, monkeypatch):
+    """However many texts a file has, a worker gets a thousand at once at most; and words that hardly come again aren't remembered."""
+    source, at = fresh(spark), fresh(spark)
+    spark.range(3500).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.lit("a").alias("source"), F.lit("en").alias("lang")).coalesce(1).write.parquet(source)
+    before = {k: spark.conf.get(k) for k in storage.BATCHES}
+
+    def watched(batches):
+        for b in batches:
+            assert len(b) <= 1000, "too many at once"
+            yield b
+
+    with monkeypatch.context() as m:
+        whole = index.tokenised
+        m.setattr(index, "tokenised", lambda batch: whole(batch.mapInArrow(watched, batch.schema)))
+        assert term_index.run(spark, read_config(None, term_index.CONFIG), source, f"{at}/index", f"{at}/checkpoint")["texts"] == 3500
+    assert before == {k: spark.conf.get(k) for k in storage.BATCHES}
+    assert tokenizer.text_terms("y" * 100_000) == ["y" * 100_000] and "y" * 100_000 not in tokenizer._TERMS
+
+
 def test_index_of_nothing(spark):
     source, at = fresh(spark), fresh(spark)
     config = read_config(None, term_index.CONFIG)
