@@ -1,16 +1,17 @@
 """BM25 for many queries at once: the best texts of each.
 
-Statistics of the corpus are counted in one pass.  Queries go over the texts in
-blocks of a stated size; a task keeps the best of each query for its own texts
-and passes on no more than these, so pairs of queries and texts are never
-shuffled.  Contributions are added in the terms' order, as ``ranking`` adds them.
+The texts are read once: what is kept of each is how often the queries' terms
+stand in it, and its length.  Statistics of the corpus and all scores come from
+that narrow table.  Queries go over it in blocks of a stated size; a task keeps
+the best of each query for its own texts and passes on no more than these, so
+pairs of queries and texts are never shuffled.  Contributions are added in the
+terms' order, as ``ranking`` adds them.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,48 +21,32 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.tokenizer import distinct_tokens, text_terms
+from ..functions.tokenizer import Wanted, distinct_tokens, lists
 from ..storage import ordinal, stage, workers_import_this
 from .ranking import K1, B
 
-#: Different terms that a task counts before it passes them on.
-HELD = 500_000
+#: Blocks of queries whose terms are counted in one pass over the texts.
+BLOCKS = 16
 #: Texts that are scored at once.
 CHUNK = 512
 
 
-def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Row]:
-    """In how many texts each term stands (term, df), and one row: the number of texts ``n`` and of terms ``terms``.
-
-    A task adds up its texts' terms before they are shuffled.  Null texts have
-    no terms and count as texts.
-    """
-    workers_import_this(docs.sparkSession)
+def term_counts(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
+    """The rows with, instead of ``text``, its number of terms and, for each of ``terms`` in it, the place in the list and the count."""
+    spark = docs.sparkSession
+    workers_import_this(spark)
+    kept = [f for f in docs.schema.fields if f.name != text]
+    shared = spark.sparkContext.broadcast(terms)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter[str | None] = Counter()
-        total = 0
-
-        def flushed() -> pa.RecordBatch:
-            sizes = [total if t is None else 0 for t in df]
-            return pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array(sizes, pa.int64())], ["term", "df", "terms"])
-
+        wanted = Wanted(shared.value)
         for batch in batches:
-            for t in batch.column(0):
-                found = text_terms(t.as_py())
-                total += len(found)
-                df.update(set(found))
-                df[None] += 1
-            if len(df) > HELD:
-                yield flushed()
-                df.clear()
-                total = 0
-        yield flushed()
-
-    met = docs.select(F.col(text).alias("text")).mapInArrow(counted, "term string, df long, terms long")
-    rows = stage(met.groupBy("term").agg(F.sum("df").alias("df"), F.sum("terms").alias("terms")), "term-statistics")
-    whole = rows.where("term IS NULL").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), F.coalesce(F.max("terms"), F.lit(0)).alias("terms")).first()
-    return rows.where("term IS NOT NULL").select("term", "df"), whole
+            found = [wanted.count(t.as_py()) for t in batch.column(text)]
+            added = [pa.array([n for n, _ in found], pa.int64()), lists((met for _, met in found), pa.int32()), lists((met.values() for _, met in found), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *added], [*(f.name for f in kept), "length", "terms", "tf"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "length bigint, terms array<int>, tf array<int>"])
+    return stage(docs.mapInArrow(counted, schema), "term-counts")
 
 
 class _Queries:
@@ -69,33 +54,30 @@ class _Queries:
 
     def __init__(self, rows: list[Row], n: int, mean: float):
         self.keys = sorted({r.query for r in rows})
-        place = {k: i for i, k in enumerate(self.keys)}
-        by_term: dict[str, tuple[int, list[int]]] = {}
+        at = {k: i for i, k in enumerate(self.keys)}
+        by_term: dict[int, tuple[int, list[int]]] = {}
         for r in rows:
-            by_term.setdefault(r.term, (r.df, []))[1].append(place[r.query])
-        self.terms = {t: i for i, t in enumerate(sorted(by_term))}
-        self.weights = [math.log(1 + (n - by_term[t][0] + 0.5) / (by_term[t][0] + 0.5)) for t in self.terms]
-        self.queries = [np.array(sorted(by_term[t][1])) for t in self.terms]
+            by_term.setdefault(r.place, (r.df, []))[1].append(at[r.query])
+        places = sorted(by_term)  # places are in the terms' order
+        self.weights = [math.log(1 + (n - by_term[p][0] + 0.5) / (by_term[p][0] + 0.5)) for p in places]
+        self.queries = [np.array(sorted(by_term[p][1])) for p in places]
+        self.own = np.full(places[-1] + 2, -1)
+        self.own[places] = np.arange(len(places))
         self.mean = mean
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """texts x queries."""
-        out = np.zeros((len(texts), len(self.keys)))
-        met: list[tuple[list[int], list[int]]] = [([], []) for _ in self.terms]
-        lengths = np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            found = text_terms(text)
-            lengths[i] = len(found)
-            counts = Counter(found)
-            for t in counts.keys() & self.terms.keys():
-                at, tf = met[self.terms[t]]
-                at.append(i)
-                tf.append(counts[t])
-        norms = K1 * (1 - B + B * lengths / self.mean) if self.mean > 0 else np.full(len(texts), K1)
-        for (at, tf), weight, queries in zip(met, self.weights, self.queries, strict=True):
-            if at:
-                f = np.array(tf, np.float64)
-                out[np.ix_(at, queries)] += (weight * f * (K1 + 1) / (f + norms[at]))[:, None]
+    def scores(self, lengths: np.ndarray, ends: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """texts x queries, from the texts' lengths, and their terms and counts with the ends of each text's."""
+        out = np.zeros((len(lengths), len(self.keys)))
+        norms = K1 * (1 - B + B * lengths / self.mean) if self.mean > 0 else np.full(len(lengths), K1)
+        at = np.repeat(np.arange(len(lengths)), np.diff(ends, prepend=0))
+        own = self.own[np.minimum(terms, len(self.own) - 1)]  # the last is -1: terms of other blocks
+        met = np.flatnonzero(own >= 0)
+        met = met[np.argsort(own[met], kind="stable")]
+        own, at, tf = own[met], at[met], tf[met].astype(np.float64)
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        for lo, hi in zip(first, [*first[1:], len(own)], strict=True):
+            f, rows = tf[lo:hi], at[lo:hi]
+            out[np.ix_(rows, self.queries[own[lo]])] += (self.weights[own[lo]] * f * (K1 + 1) / (f + norms[rows]))[:, None]
         return out
 
 
@@ -103,30 +85,38 @@ def best(docs: DataFrame, queries: DataFrame, limit: int, block: int = 128, keep
     """For each query (query, text), its best texts: query, pos (from 1), key, score and the columns ``keep``.
 
     The order is by score, then key.  Only texts with a common term are found;
-    null keys are left out; queries of one id are one query with all their
-    terms; queries without terms have no rows.  The texts are read once for the
-    statistics and once for each ``block`` queries.
+    null keys are left out, though their texts count; queries of one id are one
+    query with all their terms; queries without terms have no rows.  The texts
+    are read once for each ``BLOCKS`` times ``block`` queries.
     """
     if type(limit) is not int or limit < 1 or block < 1:
         raise ValueError("the limit and the block must be positive")
     spark = docs.sparkSession
-    frequency, whole = statistics(docs, text)
-    terms = queries.where(F.col("query").isNotNull()).select("query", F.explode(distinct_tokens(F.col("text"))).alias("term")).distinct()
-    terms = stage(terms.join(frequency, "term"), "query-terms")  # a term that no text has adds nothing
+    workers_import_this(spark)
+    terms = stage(queries.where(F.col("query").isNotNull()).select("query", F.explode(distinct_tokens(F.col("text"))).alias("term")).distinct(), "query-terms")
     numbered = stage(ordinal(terms.select("query").distinct(), "nth", "query").select("query", F.floor(F.col("nth") / block).alias("block")), "query-blocks")
-    blocks = (numbered.agg(F.max("block")).first()[0] or 0) + 1
-    slim = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), *keep)
+    blocks = int(numbered.agg(F.coalesce(F.max("block") + 1, F.lit(0))).first()[0])
+    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *keep)
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     schema = ", ".join(["query " + terms.schema["query"].dataType.simpleString(), "score double", "key " + kinds["key"], *(f"`{c}` {kinds[c]}" for c in keep)])
+    placed = terms.join(numbered, "query")
     found = None
-    for number in range(int(blocks)):
-        rows = terms.join(numbered.where(F.col("block") == number), "query").select("query", "term", "df").collect()  # the terms of ``block`` queries
-        if not rows:
-            continue
-        block_of = spark.sparkContext.broadcast(_Queries(rows, whole.n, whole.terms / whole.n))
-        part = slim.mapInArrow(_scorer(block_of, limit, keep, to_arrow_type(terms.schema["query"].dataType)), schema)
-        part = stage(part, "best-of-tasks")
-        found = part if found is None else found.unionByName(part)
+    for begin in range(0, blocks, BLOCKS):
+        own = placed.where(F.col("block").between(begin, begin + BLOCKS - 1))
+        listed = sorted(r.term for r in own.select("term").distinct().collect())  # the terms of BLOCKS blocks
+        counted = term_counts(slim, listed)
+        whole = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).first()
+        df = {r.place: r.df for r in counted.select(F.explode("terms").alias("place")).groupBy("place").agg(F.count("*").alias("df")).collect()}  # a row per listed term
+        place = {t: i for i, t in enumerate(listed)}
+        for number in range(begin, min(begin + BLOCKS, blocks)):
+            rows = own.where(F.col("block") == number).select("query", "term").collect()  # the terms of ``block`` queries
+            rows = [Row(query=r["query"], place=p, df=df[p]) for r in rows if (p := place[r.term]) in df]  # a term that no text has adds nothing
+            if not rows:
+                continue
+            block_of = spark.sparkContext.broadcast(_Queries(rows, whole.n, whole.terms / whole.n))
+            narrow = counted.where("key IS NOT NULL").select("key", "length", "terms", "tf", *keep)
+            part = stage(narrow.mapInArrow(_scorer(block_of, limit, keep, to_arrow_type(terms.schema["query"].dataType)), schema), "best-of-tasks")
+            found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "key", *keep)
@@ -142,12 +132,13 @@ def _scorer(shared: Broadcast, limit: int, keep: tuple[str, ...], query_type: pa
         floor = np.zeros(len(own.keys))
         types: list[pa.DataType] = []
         for batch in batches:
-            types = [batch.column(0).type, *(batch.column(c).type for c in keep)]
+            types = [batch.column(0).type, *(batch.column(4 + i).type for i in range(len(keep)))]
             for at in range(0, len(batch), CHUNK):
                 piece = batch.slice(at, CHUNK)
-                scores = own.scores(piece.column(1).to_pylist())
+                ends = np.cumsum(piece.column(2).value_lengths().to_numpy())
+                scores = own.scores(piece.column(1).to_numpy(), ends, piece.column(2).flatten().to_numpy(), piece.column(3).flatten().to_numpy())
                 keys = piece.column(0).to_pylist()
-                kept = list(zip(*(piece.column(c).to_pylist() for c in keep), strict=True)) or [()] * len(keys)
+                kept = list(zip(*(piece.column(4 + i).to_pylist() for i in range(len(keep))), strict=True)) or [()] * len(keys)
                 good = (scores > 0) & (scores >= floor[None, :])
                 for q in np.flatnonzero(good.any(axis=0)):
                     more = [(-scores[i, q], keys[i], kept[i]) for i in np.flatnonzero(good[:, q])]

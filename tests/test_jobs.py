@@ -158,6 +158,26 @@ def test_best_of_many_plainly(spark, block):
     assert got == {k: v for k, t in TASKS if k and (v := plain_best(DOCS, t, 4))}
 
 
+def test_best_of_many_reads_the_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def met(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame(DOCS, "doc long, text string, source string").repartition(3).withColumn("text", met.asNondeterministic()("text"))
+    assert many.best(docs, spark.createDataFrame(TASKS, "query string, text string"), 4, 1, keep=("source",), key="doc").count() == sum(len(plain_best(DOCS, t, 4)) for k, t in TASKS if k and t)
+    assert read.value == len(DOCS)
+
+
+def test_best_of_many_in_groups_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(many, "BLOCKS", 2)
+    docs, queries = spark.createDataFrame(DOCS, "doc long, text string, source string"), spark.createDataFrame(TASKS, "query string, text string")
+    got = many.best(docs, queries, 4, 1, key="doc").collect()
+    assert {(r["query"], r.doc, round(r.score, 9)) for r in got} == {(k, d, x) for k, t in TASKS if k and t for d, x, _ in plain_best(DOCS, t, 4)}
+
+
 def test_best_of_many_keeps_types_and_says_when_there_is_nothing(spark):
     docs = spark.createDataFrame([(1, "payment due", True), (2, "payment", None)], "id int, text string, flag boolean")
     queries = spark.createDataFrame([(7, "payment"), (8, "the of"), (7, "due")], "query smallint, text string")
