@@ -7,6 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from brindle import queries
+from brindle.functions import tokenizer
 from brindle.functions.text import STOPWORDS, token_estimate, tokens
 from brindle.functions.tokenizer import corpus_tokens, distinct_tokens, text_terms
 from brindle.operators import packing, ranking
@@ -76,6 +78,30 @@ def test_exact_names_tie_and_lead(spark):
         ranking.top(frame, True)
 
 
+@pytest.mark.parametrize("name", ["hybrid_search_documents"])
+def test_small_batches_go_to_workers(spark, monkeypatch, name):
+    """A worker gets a thousand texts at once at most, though one task reads ten thousand."""
+
+    def watched(texts):
+        assert len(texts) <= 1000, "too many at once"
+        return texts
+
+    whole = ranking.term_frequencies
+    monkeypatch.setattr(ranking, "term_frequencies", lambda text, terms: whole(F.arrow_udf(watched, "string")(text), terms))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.1").count() > 0
+
+
+def test_wanted_terms_are_counted_though_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(tokenizer, "REMEMBERED", 3)
+    monkeypatch.setattr(tokenizer, "LONGEST", 9)
+    rng, wanted = random.Random(5), tokenizer.Wanted(["pay", "total", "server"])
+    for _ in range(300):
+        text = " ".join(rng.choices([*WORDS, "pay", "Totals", "a_long_word_to_pay"], k=rng.randrange(8)))
+        terms = text_terms(text)
+        assert wanted.count(text) == (len(terms), {i: terms.count(t) for i, t in enumerate(("pay", "total", "server")) if t in terms})
+    assert wanted.count(None) == (0, {}) and len(wanted.places) <= 8 and not any(len(w) > 9 for w in {*wanted, *wanted.places})
+
+
 def test_no_terms_no_rows(spark):
     frame = spark.createDataFrame([("a", "x")], "id string, body string")
     assert ranking.lexical(frame, "the of", {"body": F.col("body")}).count() == 0
