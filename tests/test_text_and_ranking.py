@@ -78,7 +78,7 @@ def test_exact_names_tie_and_lead(spark):
         ranking.top(frame, True)
 
 
-@pytest.mark.parametrize("name", ["hybrid_search_documents", "seed_selection", "mean_reciprocal_rank"])
+@pytest.mark.parametrize("name", ["hybrid_search_documents", "seed_selection", "mean_reciprocal_rank", "retrieval_quality"])
 def test_small_batches_go_to_workers(spark, monkeypatch, name):
     """A worker gets a thousand texts at once at most, though one task reads ten thousand."""
 
