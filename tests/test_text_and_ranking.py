@@ -91,6 +91,16 @@ def test_small_batches_go_to_workers(spark, monkeypatch, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.1").count() > 0
 
 
+@pytest.mark.parametrize("found", [True, False])
+def test_chosen_seeds_need_no_python_workers(spark, monkeypatch, found):
+    """The few seeds are rows of the driver's; as a Python RDD they would start workers beside those that read the texts."""
+    if not found:
+        monkeypatch.setattr(queries, "doc_scores", lambda spark, sf_dir: ranking.lexical(spark.createDataFrame([], "id long, body string"), "pay", {"body": F.col("body")}))
+    frame = queries.seed_selection(spark, "/root/testdata/sf0.001")
+    assert frame.dtypes == [("doc_id", "bigint"), ("new_terms", "string")] and (frame.count() > 0) == found
+    assert "ExistingRDD" not in frame._jdf.queryExecution().toString() and "PythonRDD" not in frame._jdf.queryExecution().toRdd().toDebugString()
+
+
 def test_wanted_terms_are_counted_though_words_are_forgotten(monkeypatch):
     monkeypatch.setattr(tokenizer, "REMEMBERED", 3)
     monkeypatch.setattr(tokenizer, "LONGEST", 9)
