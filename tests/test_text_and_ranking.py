@@ -91,6 +91,16 @@ def test_small_batches_go_to_workers(spark, monkeypatch, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.1").count() > 0
 
 
+def test_small_batches_go_to_workers_that_list_terms(spark, monkeypatch):
+    def watched(texts):
+        assert len(texts) <= 1000, "too many at once"
+        return texts
+
+    whole = queries.distinct_tokens
+    monkeypatch.setattr(queries, "distinct_tokens", lambda text: whole(F.arrow_udf(watched, "string")(text)))
+    assert queries.doc_frequency(spark, "/root/testdata/sf0.1").count() > 0
+
+
 @pytest.mark.parametrize("name", ["hybrid_search_documents", "mean_reciprocal_rank", "retrieval_quality"])
 def test_texts_are_counted_once(spark, monkeypatch, name):
     """One pass of the texts through Python workers, for documents and for notes about them."""
